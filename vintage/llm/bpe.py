@@ -16,8 +16,10 @@ import regex
 
 #: Letters below this code point are split and lower-cased here; other words go to the library whole.
 SIMPLE_BELOW = "ɐ"
+#: Marks that end most words that are not letters alone, as pieces.
+SENTENCE_MARKS = {b".": "p.", b",": "p,"}
 #: Words and pieces that a worker remembers before it starts afresh; affects speed only.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _byte_table() -> dict[int, int]:
@@ -48,19 +50,25 @@ class WordTokenizer:
         self.model = self.library.model
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.specials = [t["content"].encode() for t in spec["added_tokens"]]
+        if not all(b"<|" in s for s in self.specials):
+            raise ValueError(f"{path}: special strings of another form than <|...|>")
         self.bytes_to_chars = _byte_table()
         self._ids: dict[str, list[int]] = {}
 
     def pieces(self, word: bytes) -> list[str]:
         """The pre-tokens of a word without ASCII white space."""
-        try:
-            text = word.decode()
-        except UnicodeDecodeError:
-            text = word.decode("utf-8", "replace")
-        if (not text.isascii() and (max(text) >= SIMPLE_BELOW or not unicodedata.is_normalized("NFC", text))) or any(s in word for s in self.specials):
+        if word.isalpha():  # ASCII letters only, the common case
+            return ["p" + word.lower().decode()]
+        if word[:-1].isalpha() and word[-1:] in SENTENCE_MARKS:
+            return ["p" + word[:-1].lower().decode(), SENTENCE_MARKS[word[-1:]]]
+        text = word.decode("utf-8", "replace")
+        if b"<|" in word and any(s in word for s in self.specials):
             return ["w" + text]
-        if text.isalpha():
-            return ["p" + text.lower()]
+        if not text.isascii():
+            if max(text) >= SIMPLE_BELOW or not unicodedata.is_normalized("NFC", text):
+                return ["w" + text]
+            if text.isalpha():
+                return ["p" + text.lower()]
         return ["p" + m for m in self.pattern.findall(text.lower())]
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -69,7 +77,9 @@ class WordTokenizer:
             if piece[0] == "w":
                 ids = self.library.encode(piece[1:], add_special_tokens=False).ids
             else:
-                mapped = piece[1:].encode().decode("latin-1").translate(self.bytes_to_chars)
+                mapped = piece[1:]
+                if not (mapped.isascii() and mapped.isprintable()):
+                    mapped = mapped.encode().decode("latin-1").translate(self.bytes_to_chars)
                 ids = [t.id for t in self.model.tokenize(mapped)]
             if len(self._ids) >= REMEMBERED:
                 self._ids.clear()
@@ -77,8 +87,11 @@ class WordTokenizer:
         return ids
 
     def word_ids(self, word: bytes) -> list[int]:
+        pieces = self.pieces(word)
+        if len(pieces) == 1:
+            return self.piece_ids(pieces[0])
         out: list[int] = []
-        for piece in self.pieces(word):
+        for piece in pieces:
             out += self.piece_ids(piece)
         return out
 
@@ -99,7 +112,7 @@ class WordMemory:
 
     def number(self, words: list[bytes]) -> np.ndarray:
         if len(self.numbers) > REMEMBERED:
-            self.clear()
+            self.clear()  # between slices only: numbers given out stay valid within one
         known = len(self.numbers)
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if len(self.numbers) > known:
@@ -118,6 +131,16 @@ class WordMemory:
         return self.flat[at], lengths
 
 
+_MEMORIES: dict[str, WordMemory] = {}
+
+
+def memory_for(path: str) -> WordMemory:
+    """One memory per worker process and file; it outlives the task."""
+    if path not in _MEMORIES:
+        _MEMORIES[path] = WordMemory(tokenizer_at(path))
+    return _MEMORIES[path]
+
+
 def _tail(numbers: dict, known: int) -> list[bytes]:
     """The words numbered from ``known`` on: dictionaries keep the order of insertion."""
     out = []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordMemory, tokenizer_at
+from .bpe import memory_for
 from .common import slices, utf8
 
 WINDOW = 4096
@@ -136,7 +136,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _pack(path: str, end_id: int, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = WordMemory(tokenizer_at(path))
+        memory = memory_for(path)
         packer = _Packer(window, TaskContext.get().partitionId() << 36)
         for batch, texts in slices(batches, "utf8"):
             words = [t.split() for t in texts]
