@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, pii, token_counts
+from . import decontamination, jaccard_join, packing, pii, token_counts, toxicity
 from .common import read_table
 
 
@@ -23,6 +23,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(pii.find_personal_data(read_table(spark, sf_dir, "documents")))
 
@@ -36,5 +40,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(found)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_jaccard_join, op7_pii, op8_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
