@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, pii, token_counts, toxicity
+from . import decontamination, jaccard_join, language_id, packing, pii, token_counts, toxicity
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), word_bpe())
     return counted.withColumn("over_limit", counted.n_tokens > 2048)
@@ -40,5 +44,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(found)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
