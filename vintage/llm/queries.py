@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, packing, pii, token_counts, toxicity
+from . import decontamination, hamming_topk, host_reputation, jaccard_join, language_id, packing, pii, token_counts, toxicity, warc
 from .common import read_table
 
 
@@ -18,11 +19,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), word_bpe())
     return counted.withColumn("over_limit", counted.n_tokens > 2048)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages")).drop("archive")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -44,5 +53,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_token_counts, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels table by its row number space, bad where quality is 0 or toxic is 1."""
+    labels = read_table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return host_reputation.filter_urls(read_table(spark, sf_dir, "pages"), outcomes).drop("lower")
+
+
+QUERIES = {f.__name__: f for f in (
+        op1_language_id, op2_hamming_topk, op3_token_counts, op4_warc, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination,
+        op10_url_filter,
+    )}
 ORACLE_SQL: dict[str, str] = {}
