@@ -160,6 +160,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_W
     return out.drop("utf8")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The documents of ``docs`` without any window of the benchmark, with all their columns."""
+    names = docs.columns
+
+    def keep(group):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, automata = build(group.value, window)
+            number = vocabulary.get
+            for batch, texts in slices(batches, "__utf8"):
+                clean = []
+                for text in texts:
+                    numbers = [number(w, 0) for w in words_of(text)]
+                    clean.append(not any(numbers) or not any(True for a in automata for _ in a.search(numbers)))
+                kept = batch.filter(pa.array(clean))
+                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names)
+
+        return run
+
+    context, out = docs.sparkSession.sparkContext, docs
+    for group in benchmark_groups(benchmark, group_bytes):
+        out = out.withColumn("__utf8", utf8()).mapInArrow(keep(context.broadcast(group)), docs.schema)
+    return out
+
+
 def contamination_report(found: DataFrame) -> DataFrame:
     """Digest columns of :func:`find_benchmark`."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

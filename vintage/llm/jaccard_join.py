@@ -526,7 +526,11 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
 
 
 def keep_one_per_group(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of ``docs`` that are their group's smallest id, with all their columns; rows without an id stay."""
+    """The documents of ``docs`` that are their group's smallest id, with all their columns.
+
+    Rows without an id stay, and so do rows that repeat a kept id: they are the same document.
+    """
     groups = near_duplicates(docs, n_words, percent)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    few = dropped.count() * 24 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
