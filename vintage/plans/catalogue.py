@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, bar_windows, joins, research, scalars, scores, screens, streams  # noqa: F401  (registration)
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
