@@ -67,12 +67,12 @@ def year_range(spark, sf_dir):
     return rounded(out.withColumn("dist_high", w.pct_from(F.col("top"))), "high_252", "low_252", "dist_high", digits=6)
 
 
-@query("W5_volume_ratios", f"""WITH {BARS} SELECT company_id, trading_date, round(avg(volume) OVER {over(20)} / avg(volume) OVER {over(50)}, 7) AS acceleration,
-  round(volume / avg(volume) OVER {over(20, 1)}, 7) AS rvol, round(avg(volume) OVER {over(5)} / avg(volume) OVER {over(40)}, 7) AS dry_up FROM bars""")
+@query("W5_volume_ratios", f"""WITH {BARS} SELECT company_id, trading_date, round(avg(volume) OVER {over(20)} / avg(volume) OVER {over(50)}, 10) AS acceleration,
+  round(volume / avg(volume) OVER {over(20, 1)}, 10) AS rvol, round(avg(volume) OVER {over(5)} / avg(volume) OVER {over(40)}, 10) AS dry_up FROM bars""")
 def volume_ratios(spark, sf_dir):
     x = w.indicators(a.bars(spark, sf_dir))
     x = x.withColumns({"acceleration": F.col("vol20") / F.col("vol50"), "rvol": F.col("volume") / F.col("vol20_before"), "dry_up": F.col("vol5") / F.col("vol40")})
-    return rounded(x, "acceleration", "rvol", "dry_up", digits=7)
+    return rounded(x, "acceleration", "rvol", "dry_up", digits=10)
 
 
 AVERAGES = f"""avgs AS (SELECT *, row_number() OVER ({W}) AS n, avg(close) OVER {over(50)} AS a50, avg(close) OVER {over(150)} AS a150, avg(close) OVER {over(200)} AS a200,
@@ -166,10 +166,10 @@ def first_passage(spark, sf_dir):
 
 
 @query("W15_low_before_milestone", f"""WITH {BARS}, {START}, hit AS (SELECT company_id, t0, min(i) FILTER (p / p0 >= 1.2) AS hit_at FROM pathed GROUP BY company_id, t0)
-SELECT company_id, t0, round(min(p) FILTER (i < hit_at), 4) AS low_before FROM pathed JOIN hit USING (company_id, t0) GROUP BY company_id, t0""")
+SELECT company_id, t0, round(min(p) FILTER (i < hit_at), 6) AS low_before FROM pathed JOIN hit USING (company_id, t0) GROUP BY company_id, t0""")
 def low_before_milestone(spark, sf_dir):
     bars = a.bars(spark, sf_dir)
-    return paths.low_before(bars, paths.year_anchors(bars), 1.2).select("company_id", "t0", F.round("low_before", 4).alias("low_before"))
+    return paths.low_before(bars, paths.year_anchors(bars), 1.2).select("company_id", "t0", F.round("low_before", 6).alias("low_before"))
 
 
 @query("W16_path_vector", f"""WITH {BARS}, {START} SELECT company_id, t0, count(*) AS bars, round(sum(p * (i + 1)), 3) AS weighted FROM forward WHERE i < 253 GROUP BY company_id, t0""")
@@ -213,11 +213,11 @@ def keep_latest(spark, sf_dir):
 
 
 @query("W29_expansion", f"""WITH {BARS}, {TR} SELECT company_id, trading_date, round((high - low) / avg(true_range) OVER {over(20)}, 4) AS expansion,
-  round(close / ((high + low + close) / 3) - 1, 6) + 0.0 AS vwap_gap, round(min(low) OVER {over(20)}, 4) AS support FROM ranged""")
+  round(close / ((high + low + close) / 3) - 1, 6) + 0.0 AS vwap_gap, round(min(low) OVER {over(20)}, 6) AS support FROM ranged""")
 def expansion(spark, sf_dir):
     x = w.indicators(a.bars(spark, sf_dir))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return x.select(*KEY, F.round((F.col("high") - F.col("low")) / F.col("atr20"), 4).alias("expansion"), (F.round(F.col("close") / typical - 1, 6) + 0.0).alias("vwap_gap"), F.round("low20", 4).alias("support"))
+    return x.select(*KEY, F.round((F.col("high") - F.col("low")) / F.col("atr20"), 4).alias("expansion"), (F.round(F.col("close") / typical - 1, 6) + 0.0).alias("vwap_gap"), F.round("low20", 6).alias("support"))
 
 
 STAGE = """staged AS (SELECT *, CASE WHEN n >= 220 THEN s200 > before ELSE close > s200 END AS rising, round((close - lo) / lo * 100, 1) AS dl, round((close - hi) / hi * 100, 1) AS dh FROM sloped),
