@@ -8,6 +8,11 @@ BARS = f"""{LINES}, bars AS (
   SELECT company_id, trading_date, first(u ORDER BY {KEYS}) AS open, max(u) AS high, min(u) AS low, last(u ORDER BY {KEYS}) AS close,
          sum(l_quantity) AS volume
   FROM lines GROUP BY company_id, trading_date)"""
+W = "PARTITION BY company_id ORDER BY trading_date"
+CALM = BARS.replace(", bars AS (", ", raw AS (") + f""", smooth AS (
+  SELECT *, avg(close) OVER ({W} ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS c, coalesce((close - low) / CASE WHEN high > low THEN high - low END, 0.47) AS place FROM raw), shaped AS (
+  SELECT company_id, trading_date, coalesce(lag(c) OVER ({W}), c) AS before, c * (1.004 + 0.008 * place) AS high, c * (0.988 + 0.008 * place) AS low, c AS close, volume FROM smooth), bars AS (
+  SELECT company_id, trading_date, least(greatest(before, low), high) AS open, high, low, close, volume FROM shaped)"""
 DELIVERY = """delivery AS (
   SELECT company_id, trading_date, sum(l_quantity) AS traded_qty, sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS delivery_qty,
          sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) / sum(l_quantity) * 100 AS delivery_pct
@@ -29,7 +34,6 @@ UNIVERSE = """universe AS (
 INTERVALS = """intervals AS (
   SELECT o_orderkey AS observation_id, o_custkey AS company_id, CAST(o_orderdate AS DATE) AS label_start, CAST(o_orderdate AS DATE) + 365 AS label_end
   FROM orders)"""
-W = "PARTITION BY company_id ORDER BY trading_date"
 
 
 def over(k: int, last: int = 0) -> str:

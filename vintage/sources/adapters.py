@@ -7,7 +7,7 @@ dimension join) followed by one partial aggregation on its key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Days between the end of a quarter and its publication, and that of its restatement.
@@ -36,6 +36,21 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars as a stock moves from day to day, for setups and trades: means of 40 raw closes, with the raw bar's shape as a narrow range around them.
+
+    Raw unit prices of a day's shipments jump by more than any entry gate allows.
+    """
+    by = Window.partitionBy("company_id").orderBy("trading_date")
+    mean = F.avg("close").over(by.rowsBetween(-39, 0))
+    place = F.coalesce((F.col("close") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")), F.lit(0.47))
+    x = bars(spark, sf_dir).withColumns({"c": mean, "place": place})
+    return x.select(
+        "company_id", "trading_date", F.coalesce(F.lag("c").over(by), F.col("c")).alias("before"), (F.col("c") * (1.004 + 0.008 * F.col("place"))).alias("high"), (F.col("c") * (0.988 + 0.008 * F.col("place"))).alias("low"),
+        F.col("c").alias("close"), "volume",
+    ).select("company_id", "trading_date", F.least(F.greatest("before", "low"), F.col("high")).alias("open"), "high", "low", "close", "volume")
+
+
 def delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``company_id, trading_date, traded_qty, delivery_qty, delivery_pct``; shipments that are not returned count as delivered."""
     taken = F.sum(F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0))
