@@ -1 +1,48 @@
-"""Queries."""
+"""Batch queries of the streaming operators; tests hold the streams against them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import adapters as a
+from ..streaming import radar
+from .registry import query
+
+
+@query("R1_microstructure", """WITH q AS (SELECT event_id, value AS price, user_id % 97 + 1 AS buy, event_id % 89 + 1 AS sell, event_type = 'error' AS synthetic, 40.0 AS average FROM events), s AS (SELECT *, (buy - sell)::DOUBLE / (buy + sell) AS imbalance, (price / average - 1) * 100 AS delta FROM q)
+SELECT event_id, round(imbalance, 6) AS imbalance, CASE WHEN synthetic THEN 'NO_DEPTH' WHEN imbalance > 0.3 AND delta > 0 THEN 'BUY_PRESSURE' WHEN imbalance < -0.3 AND delta < 0 THEN 'SELL_PRESSURE' ELSE 'NEUTRAL' END AS signal FROM s""")
+def microstructure(spark, sf_dir):
+    q = a.quotes(spark, sf_dir).select(
+        "event_id", "price", (F.col("symbol") % 97 + 1).cast("double").alias("buy_qty"), (F.col("event_id") % 89 + 1).cast("double").alias("sell_qty"), (F.col("kind") == "error").alias("synthetic"), F.lit(40.0).alias("average"),
+        F.lit(40.0).alias("open"), F.lit(39.0).alias("prev_close"),
+    )
+    return radar.microstructure(q).select("event_id", F.round("imbalance", 6).alias("imbalance"), "signal")
+
+
+@query("R2_latest", "SELECT user_id AS symbol, max(ts) AS ts, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY 1")
+def latest(spark, sf_dir):
+    return radar.latest_per_symbol(a.quotes(spark, sf_dir))
+
+
+@query("R6_staleness", "SELECT user_id AS symbol, round(date_diff('second', date_trunc('second', max(ts)), TIMESTAMP '2024-01-31 00:00:00') / 60.0, 0) >= 0 AS known, count(*) AS ticks FROM events GROUP BY 1")
+def staleness(spark, sf_dir):
+    t = a.quotes(spark, sf_dir)
+    x = radar.with_staleness(radar.latest_per_symbol(t), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    n = t.groupBy("symbol").agg(F.count("*").alias("ticks"))
+    return x.join(n, "symbol").select("symbol", (F.round("age_minutes", 0) >= 0).alias("known"), "ticks")
+
+
+@query("R7_session", """WITH l AS (SELECT event_id, ts + INTERVAL '5 hours 30 minutes' AS t FROM events) SELECT event_id, isodow(t) <= 5 AND hour(t) * 60 + minute(t) BETWEEN 555 AND 930 AS in_session FROM l""")
+def session(spark, sf_dir):
+    return a.quotes(spark, sf_dir).select("event_id", radar.in_session().alias("in_session"))
+
+
+@query("R8_bars_from_ticks", "SELECT user_id AS symbol, date_trunc('day', ts)::TIMESTAMP AS start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2")
+def bars_from_ticks(spark, sf_dir):
+    return radar.bars_from_ticks(a.quotes(spark, sf_dir))
+
+
+@query("R9_deduplicated", "SELECT event_id, user_id AS symbol FROM (SELECT DISTINCT event_id, user_id FROM events)")
+def deduplicated(spark, sf_dir):
+    t = a.quotes(spark, sf_dir)
+    return radar.deduplicated(t.unionByName(t)).select("event_id", "symbol")
