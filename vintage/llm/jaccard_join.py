@@ -43,7 +43,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, utf8
@@ -55,11 +55,15 @@ FIRST_TIER = 0.4
 #: An n-gram of so many classes is simply frequent: the order does not tell such n-grams apart by frequency.
 HEAVY = 64
 #: Entries of a bucket of the exchange; with it grows a task's memory.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 700_000
+#: Words whose hashes a worker remembers before it starts afresh; affects speed only.
+REMEMBERED = 250_000
 #: Sets of a block of the prefix tree.
 BLOCK_SETS = 2_000
 #: Members of each component that meet first when blocks are merged.
 DELEGATES = 4
+#: Rounds in which delegates meet before the exhaustive step.
+MEETINGS = 2
 #: Bytes of candidate ids that are broadcast to filter texts; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -83,7 +87,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], n: int = N_WORDS) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    if len(_HASHES) > 600_000:
+    if len(_HASHES) > REMEMBERED:
         _HASHES.clear()
     words = [t.lower().split() for t in texts]
     sizes = [len(w) for w in words]
@@ -278,25 +282,32 @@ def _prefixes(percent: int):
 # --- connected components ------------------------------------------------------------------
 
 
+def _joined(rows: DataFrame, table: DataFrame, n: int, key: str, how: str = "inner") -> DataFrame:
+    """Join with a table of ``n`` rows of two numbers: broadcast while that is few bytes, by shuffle beyond."""
+    return rows.join(F.broadcast(table) if n * 24 <= BROADCAST_BYTES else table, key, how)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``: the smallest node that it is connected with.
 
-    Contraction: every node points to its smallest neighbour, twice followed;
+    Contraction: every node points to its smallest neighbour, followed twice;
     edges between what is left go on. Rounds fall with the logarithm of the longest path.
     """
     edges = materialise(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
+    labels = edges.selectExpr("a node", "b root").limit(0)
+    first = True
+    while n := edges.count():
         both = edges.select("a", "b").unionByName(edges.selectExpr("b a", "a b"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).selectExpr("node", "least(node, low) parent")
-        up = parent.selectExpr("node parent", "parent grand")
-        step = materialise(parent.join(up, "parent").select("node", F.col("grand").alias("root")), "parents")
-        labels = step if labels is None else materialise(
-            labels.join(step.selectExpr("node root", "root next"), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels"
-        )
-        edges = edges.join(step.selectExpr("node a", "root ra"), "a").join(step.selectExpr("node b", "root rb"), "b")
+        parent = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).selectExpr("node", "least(node, low) parent"), "parents")
+        step = _joined(parent, parent.selectExpr("node parent", "parent root"), 2 * n, "parent").select("node", "root")
+        if first:
+            labels = step
+        else:
+            labels = _joined(labels, step.selectExpr("node root", "root next"), 2 * n, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        first = False
+        edges = _joined(_joined(edges, step.selectExpr("node a", "root ra"), 2 * n, "a"), step.selectExpr("node b", "root rb"), 2 * n, "b")
         edges = materialise(edges.where("ra <> rb").selectExpr("least(ra, rb) a", "greatest(ra, rb) b").distinct(), "edges")
-    return edges.selectExpr("a node", "b root") if labels is None else labels
+    return materialise(labels, "labels")
 
 
 # --- the prefix tree -----------------------------------------------------------------------
@@ -319,7 +330,6 @@ class PrefixTree:
         self.root.mixed = True
         self.member = np.zeros(size + 1, bool)
         self.full: list[int] = []
-        self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         while self.parent[i] != i:
@@ -355,7 +365,6 @@ class PrefixTree:
                 continue
             for other in node.sets:
                 if self.find(other) != mine and (100 + self.percent) * overlap >= need + self.percent * self.full[other]:
-                    self.links.append((other, i))
                     self.unite(other, i)
                     mine = self.find(i)
             if node.below:
@@ -392,8 +401,8 @@ class PrefixTree:
             node, at = child, at + same
 
 
-def tree_links(sets: list[np.ndarray], labels: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what the sets' links connect. ``labels``: for each set an earlier or equal index that it is known to be connected with."""
+def tree_components(sets: list[np.ndarray], labels: list[int], percent: int = PERCENT) -> list[int]:
+    """For each set the smallest index that it is connected with. ``labels``: an earlier or equal index that it is known to be connected with."""
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((values, -counts))
     rank = np.empty(len(values), np.int64)
@@ -405,11 +414,11 @@ def tree_links(sets: list[np.ndarray], labels: list[int], percent: int = PERCENT
         own = np.sort(ranks[at : at + len(s)])
         at += len(s)
         tree.join(i, own[: np.searchsorted(own, common)], len(s))
-    return tree.links
+    return [tree.find(i) for i in range(len(sets))]
 
 
 def _tree_task(percent: int):
-    """All candidate groups of a task; rows ``part, cls, label, grams``. Gives edges of the links found."""
+    """All candidate groups of a task; rows ``part, cls, label, grams``. Gives for each label that met another the smallest label it is now connected with."""
 
     def task(table: pa.Table) -> pa.Table:
         part, cls, label = (table.column(k).to_numpy() for k in ("part", "cls", "label"))
@@ -424,10 +433,13 @@ def _tree_task(percent: int):
             rows = rows[np.concatenate([[True], cls[rows][1:] != cls[rows][:-1]])]
             first: dict[int, int] = {}
             known = [first.setdefault(int(label[r]), i) for i, r in enumerate(rows)]
-            sets = [np.frombuffer(grams[int(r)].as_py(), "<u8") for r in rows]
-            for x, y in tree_links(sets, known, percent) if len(rows) > 1 else ():
-                a.append(int(cls[rows[x]]))
-                b.append(int(cls[rows[y]]))
+            if len(first) > 1:
+                roots = tree_components([np.frombuffer(grams[int(r)].as_py(), "<u8") for r in rows], known, percent)
+                # rows are in order of label, so the smallest index of a component has its smallest label
+                for own, i in first.items():
+                    if roots[i] != i:
+                        a.append(own)
+                        b.append(int(label[rows[roots[i]]]))
             at = end
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -446,55 +458,55 @@ def _sets(n_words: int):
 
 
 def _run_trees(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).applyInArrow(_tree_task(percent), "a long, b long")
+    # A number of partitions that is stated stays: little data is much work here.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(_tree_task(percent), "a long, b long")
 
 
 def _link_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect, within every candidate group ``part``, what the links of its sets connect."""
+    """``cls, root``: within every candidate group ``part``, the smallest class that links connect a class with; classes that are their own root may be left out."""
     sizes = sets.groupBy("part").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("long")
     sets = sets.join(sizes, "part").withColumn("blocks", blocks)
     sets = sets.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), F.col("blocks"))).otherwise(F.lit(-1)))
-    sets = sets.withColumn("label", F.col("cls"))
-    # Small groups share tasks; a block of a large group is a task.
+    # Small groups share tasks; a block of a large group is a task. A class lies in one of them, so the links are labels already.
     task = F.when(F.col("blocks") > 1, F.xxhash64("part", "block")).otherwise(F.pmod(F.xxhash64("part"), F.lit(4096)))
-    edges = materialise(_run_trees(sets.withColumn("task", task), percent, "task", "blocks"), "links")
-    large = sizes.where(F.col("size") > BLOCK_SETS)
-    if large.isEmpty():
-        return edges
-    big = materialise(sets.where("blocks > 1").drop("label"), "large-groups")
-
-    def labelled(edges: DataFrame) -> DataFrame:
-        return big.join(connected(edges).selectExpr("node cls", "root"), "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
-
-    # Delegates of each component meet in blocks, until a round links nothing more.
-    while True:
-        now = labelled(edges)
-        few = now.select("part", "label", "cls").withColumn("h", F.xxhash64("cls"))
-        few = few.groupBy("part", "label").agg(F.slice(F.array_sort(F.collect_set(F.pmod("h", F.lit(97)))), 1, DELEGATES).alias("hs"))
-        few = now.join(few, ["part", "label"]).where(F.array_contains("hs", F.pmod(F.xxhash64("cls"), F.lit(97))))
-        ranked = few.groupBy("part", "label", F.pmod(F.xxhash64("cls"), F.lit(97)).alias("h")).agg(F.min_by(F.struct("cls", "grams"), "cls").alias("one"))
-        ranked = ranked.select("part", "label", F.col("one.cls").alias("cls"), F.col("one.grams").alias("grams"))
-        counts = ranked.groupBy("part").agg(F.count("*").alias("m"), F.countDistinct("label").alias("labels")).where("labels > 1")
-        ranked = ranked.join(counts, "part").withColumn("task", F.pmod(F.xxhash64("label"), F.ceil(F.col("m") / BLOCK_SETS).cast("long")))
-        found = materialise(_run_trees(ranked, percent, "part", "task"), "links")
+    labels = materialise(_run_trees(sets.withColumn("label", F.col("cls")).withColumn("task", task), percent, "task", "blocks").toDF("cls", "root"), "labels")
+    if sizes.where(F.col("size") > BLOCK_SETS).isEmpty():
+        return labels
+    big = sets.where("blocks > 1").join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root", "size")
+    big = materialise(big, "large-groups")
+
+    def merge(found: DataFrame) -> None:
+        nonlocal big, labels
+        n = found.count()
+        big = materialise(_joined(big, found.toDF("label", "next"), n, "label", "left").withColumn("label", F.coalesce("next", "label")).drop("next"), "large-groups")
+        moved = found.toDF("root", "next")
+        kept = _joined(labels, moved, n, "root", "left").select("cls", F.coalesce("next", "root").alias("root"))
+        labels = materialise(kept.unionByName(found.toDF("cls", "root")), "labels")  # a label that moved was its own root before
+
+    # Delegates of each component meet in blocks that change from round to round; what they miss, the last step finds.
+    for turn in range(MEETINGS):
+        first = Window.partitionBy("part", "label").orderBy(F.xxhash64("cls"), "cls")
+        few = big.withColumn("place", F.row_number().over(first)).where(F.col("place") <= DELEGATES)
+        few = few.withColumn("task", F.pmod(F.xxhash64(F.lit(turn), "label"), F.col("blocks")))
+        found = materialise(_run_trees(few, percent, "part", "task"), "links")
         if found.isEmpty():
             break
-        edges = edges.unionByName(found)
+        merge(found)
     # What lies outside the largest component of its group meets every block of the group.
-    now = materialise(labelled(edges), "large-groups")
-    components = now.groupBy("part", "label").agg(F.count("*").alias("m"))
+    components = big.groupBy("part", "label").agg(F.count("*").alias("m"))
     largest = components.groupBy("part").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("part", "main")
-    rest = now.join(largest, "part").where("label <> main").drop("main")
-    if rest.isEmpty():
-        return edges
+    rest = materialise(big.join(largest, "part").where("label <> main").drop("main"), "rest")
     chunks = rest.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("chunks"))
-    home = now.join(chunks, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    home = big.join(chunks, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     away = rest.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("chunks")))
     away = away.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     columns = ["part", "block", "chunk", "cls", "label", "grams"]
-    meet = home.select(*columns).unionByName(away.select(*columns))
-    return edges.unionByName(materialise(_run_trees(meet, percent, "part", "block", "chunk"), "links"))
+    found = connected(_run_trees(home.select(*columns).unionByName(away.select(*columns)), percent, "part", "block", "chunk"))
+    if not found.isEmpty():
+        merge(found.where("node <> root"))
+    return labels
 
 
 # --- the operator --------------------------------------------------------------------------
@@ -518,8 +530,7 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     few = candidates.count() * 24 <= BROADCAST_BYTES
     chosen = texts.join(F.broadcast(candidates) if few else candidates, texts.doc_id == candidates.rep).select("utf8", "cls", "part")
     sets = materialise(chosen.mapInArrow(_sets(n_words), "cls long, part long, grams binary"), "sets")
-    linked = connected(_link_groups(sets, percent))
-    roots = classes.join(linked.selectExpr("node cls", "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    roots = classes.join(_link_groups(sets, percent), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.join(lowest, "root").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
