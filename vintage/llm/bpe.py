@@ -67,9 +67,8 @@ class WordTokenizer:
         if not text.isascii():
             if max(text) >= SIMPLE_BELOW or not unicodedata.is_normalized("NFC", text):
                 return ["w" + text]
-            if text.isalpha():
-                return ["p" + text.lower()]
-        return ["p" + m for m in self.pattern.findall(text.lower())]
+        text = text.lower()  # may bring a mark that is no letter
+        return ["p" + text] if text.isalpha() else ["p" + m for m in self.pattern.findall(text)]
 
     def piece_ids(self, piece: str) -> list[int]:
         ids = self._ids.get(piece)
