@@ -43,6 +43,8 @@ ACCEPT = 0.995
 #: Words that a worker remembers before it starts afresh; affects speed only.
 REMEMBERED = 400_000
 BEGIN, END = 2, 3
+#: Sets the places of an n-gram apart in its hash.
+_SALTS = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(64)]
 
 
 def letters(word: bytes) -> str:
@@ -62,7 +64,7 @@ def _grams(words: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     for k in range(1, order + 1):
         # h of the k-gram ending at i: mixes the symbol k - 1 places back into the (k - 1)-gram ending at i
         back = np.concatenate([np.zeros(k - 1, np.uint64), codes[: len(codes) - k + 1]])
-        h = (h ^ (back + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (back + _SALTS[k])) * np.uint64(0xD6E8FEB86659FD93)
         h = h ^ (h >> np.uint64(32))
         out.append(np.where(place >= k - 1, h | np.uint64(1), np.uint64(0))[keep])
     return out, owner[keep]
@@ -77,7 +79,7 @@ def _contexts(words: list[str], order: int) -> list[np.ndarray]:
     out, h = [np.zeros(int(keep.sum()), np.uint64)], np.zeros(len(codes), np.uint64)
     for k in range(1, order):
         back = np.concatenate([np.zeros(k, np.uint64), codes[: len(codes) - k]])
-        h = (h ^ (back + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (back + _SALTS[k])) * np.uint64(0xD6E8FEB86659FD93)
         h = h ^ (h >> np.uint64(32))
         out.append(np.where(place >= k, h | np.uint64(1), np.uint64(0))[keep])
     return out
