@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def ticks(spark):
     schema = spark.read.parquet(f"{SF}/events.parquet").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)
-    return raw.selectExpr("event_id", "ts", "user_id symbol", "value price", "event_type kind")
+    return raw.selectExpr("event_id", "cast(ts as timestamp) ts", "user_id symbol", "value price", "event_type kind")
 
 
 def run(spark, df, name, mode):

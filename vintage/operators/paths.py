@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SESSIONS, last_bars
+from .windows import sessions, last_bars
 
 
 def mansfield(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def mansfield(bars: DataFrame, benchmark: DataFrame | None = None) -> DataFrame:
     if benchmark is None:
         benchmark = bars.groupBy("trading_date").agg(F.avg("close").alias("benchmark"))
     x = bars.join(benchmark, "trading_date").withColumn("rs", F.col("close") / F.col("benchmark"))
-    x = x.withColumn("score", F.when(F.row_number().over(SESSIONS) >= 50, (F.col("rs") / F.avg("rs").over(last_bars(50)) - 1) * 100))
+    x = x.withColumn("score", F.when(F.row_number().over(sessions()) >= 50, (F.col("rs") / F.avg("rs").over(last_bars(50)) - 1) * 100))
     score = F.col("score")
     status = F.when(score.isNull(), "UNKNOWN").when(score > 10, "LEADER").when(score > 0, "OUTPERFORMER").when(score > -5, "IN_LINE").otherwise("LAGGARD")
     return x.withColumn("status", status)
@@ -33,7 +33,7 @@ def contraction(x: DataFrame) -> DataFrame:
 
 def contraction_percentile(x: DataFrame) -> DataFrame:
     """Share, in percent, of the earlier samples (bars 30, 33, ...) whose ratio does not exceed the rounded current one."""
-    before = SESSIONS.rowsBetween(Window.unboundedPreceding, -1)
+    before = sessions().rowsBetween(Window.unboundedPreceding, -1)
     sample = F.collect_list(F.when((F.col("n") >= 30) & (F.col("n") % 3 == 0), F.col("ratio"))).over(before)
     now = F.round("ratio", 2)
     share = F.size(F.filter(sample, lambda r: r <= now)) / F.size(sample) * 100
@@ -108,7 +108,7 @@ def path_vectors(bars: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
 
 def wealth(x: DataFrame, start: float) -> DataFrame:
     """Value of a stake bought at the first close: dividends reinvested at the close, or kept as cash."""
-    running = SESSIONS.rowsBetween(Window.unboundedPreceding, 0)
+    running = sessions().rowsBetween(Window.unboundedPreceding, 0)
     shares = F.lit(start) / F.first("close").over(running)
     growth = F.exp(F.sum(F.log1p(F.col("dividend") / F.col("close"))).over(running))
     return x.withColumn("reinvested", shares * growth * F.col("close")).withColumn("cash", shares * (F.col("close") + F.sum("dividend").over(running)))

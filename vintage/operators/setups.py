@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import SESSIONS, last_bars, pct_from, trend_template
+from .windows import sessions, last_bars, pct_from, trend_template
 
 # Fixed values of the entry gates, the walk and the cool-down.
 MAX_RISK_PCT, MIN_REWARD, WATCH_BARS = 8.5, 1.7, 3
@@ -109,7 +109,7 @@ def candidates(x: DataFrame) -> DataFrame:
     """Entries from audited bars: at once where actionable, or within the next bars that reach the pivot before the stop is touched."""
     total = F.count("*").over(Window.partitionBy("company_id"))
     x = x.withColumn("total", total)
-    ahead = [F.struct(*(F.lead(k, i).over(SESSIONS).alias(k) for k in ("high", "low", "open")), F.lit(i).alias("i")) for i in range(1, WATCH_BARS + 1)]
+    ahead = [F.struct(*(F.lead(k, i).over(sessions()).alias(k) for k in ("high", "low", "open")), F.lit(i).alias("i")) for i in range(1, WATCH_BARS + 1)]
     x = x.withColumn("ahead", F.array(*ahead))
     reached = F.element_at(F.filter("ahead", lambda b: b["high"] >= F.col("pivot")), 1)
     touched = F.element_at(F.filter("ahead", lambda b: b["low"] <= F.col("stop")), 1)

@@ -9,19 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SESSIONS = Window.partitionBy("company_id").orderBy("trading_date")
+def sessions():
+    """The window of a company's sessions in order; made where it is used, since a window needs a session."""
+    return Window.partitionBy("company_id").orderBy("trading_date")
+
+
 #: Sessions of a year, by highs and lows and by closes.
 YEAR_BARS, YEAR_CLOSES = 252, 250
 
 
 def last_bars(k: int, before: int = 0):
     """Window of the ``k`` bars that end ``before`` bars before the current one."""
-    return SESSIONS.rowsBetween(-(k - 1 + before), -before)
+    return sessions().rowsBetween(-(k - 1 + before), -before)
 
 
 def full(k: int, value: Column) -> Column:
     """``value`` where the company has at least ``k`` bars so far, else null."""
-    return F.when(F.row_number().over(SESSIONS) >= k, value)
+    return F.when(F.row_number().over(sessions()) >= k, value)
 
 
 def sma(k: int, value: str = "close") -> Column:
@@ -34,7 +38,7 @@ def pct_from(level: Column, value: str = "close") -> Column:
 
 def true_range() -> Column:
     """Null on a company's first bar: there is no close before it."""
-    before = F.lag("close").over(SESSIONS)
+    before = F.lag("close").over(sessions())
     return F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
 
 
@@ -81,19 +85,19 @@ def year_low() -> Column:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """The bars with the columns that setups, scores and screens read. One sort serves all of them."""
-    n = F.row_number().over(SESSIONS)
+    n = F.row_number().over(sessions())
     out = bars.withColumn("n", n).withColumn("true_range", true_range()).withColumn("sma50", sma(50)).withColumn("sma150", sma(150)).withColumn("sma200", sma(200))
     closes = last_bars(YEAR_CLOSES)
     vol40 = F.avg("volume").over(last_bars(40))
     return out.select(
         "*", sma(20).alias("sma20"), atr(10).alias("atr10"), atr(14).alias("atr14"), atr(20).alias("atr20"), atr(30).alias("atr30"),
-        F.max("close").over(closes).alias("high_52w"), F.min("close").over(closes).alias("low_52w"), F.lag("sma200", 20).over(SESSIONS).alias("sma200_before"),
+        F.max("close").over(closes).alias("high_52w"), F.min("close").over(closes).alias("low_52w"), F.lag("sma200", 20).over(sessions()).alias("sma200_before"),
         F.avg("volume").over(last_bars(5)).alias("vol5"), vol40.alias("vol40"), F.avg("volume").over(last_bars(20)).alias("vol20"),
         F.avg("volume").over(last_bars(50)).alias("vol50"), F.avg("volume").over(last_bars(20, 1)).alias("vol20_before"),
         *(F.max("high").over(last_bars(k)).alias(f"high{k}") for k in (3, 5, 8, 10, 20, 30)),
         *(F.min("low").over(last_bars(k)).alias(f"low{k}") for k in (5, 8, 10, 20, 30)),
         F.max("high").over(last_bars(30, 10)).alias("high30_before10"), F.min("low").over(last_bars(30, 10)).alias("low30_before10"),
-        F.lag("close").over(SESSIONS).alias("prev_close"),
+        F.lag("close").over(sessions()).alias("prev_close"),
     )
 
 

@@ -24,7 +24,7 @@ def audited(spark, sf_dir):
 
 def labelled(spark, sf_dir, optimistic=False):
     x = audited(spark, sf_dir)
-    bars = a.calm_bars(spark, sf_dir).withColumn("n", F.row_number().over(w.SESSIONS))
+    bars = a.calm_bars(spark, sf_dir).withColumn("n", F.row_number().over(w.sessions()))
     return setups.label(setups.candidates(x), bars, optimistic)
 
 
@@ -190,7 +190,7 @@ def pricing_power(spark, sf_dir):
 @query("A19_breadth", f"""WITH {BARS}, c AS (SELECT *, lag(close) OVER ({W}) AS pc, max(high) OVER (PARTITION BY company_id ORDER BY trading_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hi FROM bars)
 SELECT trading_date, count(*) FILTER (close > pc) AS advances, count(*) FILTER (close < pc) AS declines, count(*) FILTER (close >= hi) AS new_highs, round(count(*) FILTER (close > pc) * 100.0 / nullif(count(pc), 0), 4) AS advancing_pct FROM c GROUP BY 1""")
 def breadth(spark, sf_dir):
-    x = a.bars(spark, sf_dir).withColumns({"pc": F.lag("close").over(w.SESSIONS), "hi": w.year_high()})
+    x = a.bars(spark, sf_dir).withColumns({"pc": F.lag("close").over(w.sessions()), "hi": w.year_high()})
     up, known = F.count_if(F.col("close") > F.col("pc")), F.count("pc")
     return x.groupBy("trading_date").agg(
         up.alias("advances"), F.count_if(F.col("close") < F.col("pc")).alias("declines"), F.count_if(F.col("close") >= F.col("hi")).alias("new_highs"), F.round(up * 100 / F.when(known > 0, known), 4).alias("advancing_pct")
@@ -204,7 +204,7 @@ def sector_rotation(spark, sf_dir):
     bars = a.bars(spark, sf_dir)
     days = Window.orderBy("trading_date")  # one row per session
     market = a.benchmark_bars(bars).withColumns({"m1": F.col("close") / F.lag("close", 1).over(days) - 1, "m30": F.col("close") / F.lag("close", 30).over(days) - 1}).drop("close")
-    x = bars.withColumns({"r1": F.col("close") / F.lag("close", 1).over(w.SESSIONS) - 1, "r30": F.col("close") / F.lag("close", 30).over(w.SESSIONS) - 1}).join(market, "trading_date").where("r30 IS NOT NULL AND m30 IS NOT NULL")
+    x = bars.withColumns({"r1": F.col("close") / F.lag("close", 1).over(w.sessions()) - 1, "r30": F.col("close") / F.lag("close", 30).over(w.sessions()) - 1}).join(market, "trading_date").where("r30 IS NOT NULL AND m30 IS NOT NULL")
     long, short = F.col("r30") > F.col("m30"), F.col("r1") > F.col("m1")
     return x.select("company_id", "trading_date", F.when(long & short, "LEADING").when(long, "WEAKENING").when(short, "IMPROVING").otherwise("LAGGING").alias("quadrant"))
 

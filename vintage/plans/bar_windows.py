@@ -56,7 +56,7 @@ SELECT p.company_id, p.trading_date, round(CASE WHEN coalesce(k.bars, 0) < 14 TH
 FROM picked p LEFT JOIN walk k ON k.company_id = p.company_id AND k.trading_date = p.trading_date AND k.at = greatest(p.n, p.first_n + 14)""")
 def wilder_rsi(spark, sf_dir):
     """Sampled bars are the feature: every 97th session of a company and its first twenty."""
-    bars = a.bars(spark, sf_dir).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("n", F.row_number().over(w.SESSIONS))
+    bars = a.bars(spark, sf_dir).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("n", F.row_number().over(w.sessions()))
     return rounded(bars.withColumn("rsi14", w.wilder_rsi()).where("n % 97 = 0 OR n <= 20"), "rsi14")
 
 
@@ -154,7 +154,7 @@ def drawdown(spark, sf_dir):
 @query("W13_offset_prices", f"""WITH {BARS} SELECT company_id, trading_date, {', '.join(f"round(lead(close, {k}) OVER ({W}) / close - 1, 6) AS r{k}" for k in (1, 5, 20, 60, 120, 252))} FROM bars""")
 def offset_prices(spark, sf_dir):
     ahead = (1, 5, 20, 60, 120, 252)
-    out = a.bars(spark, sf_dir).withColumns({f"r{k}": F.lead("close", k).over(w.SESSIONS) / F.col("close") - 1 for k in ahead})
+    out = a.bars(spark, sf_dir).withColumns({f"r{k}": F.lead("close", k).over(w.sessions()) / F.col("close") - 1 for k in ahead})
     return rounded(out, *(f"r{k}" for k in ahead), digits=6)
 
 
@@ -187,7 +187,7 @@ SELECT company_id, trading_date, round(1000 / first(close) OVER ({W}) * exp(sum(
 def wealth(spark, sf_dir):
     """A dividend of 1 % of the close on the first session of every month but the first."""
     bars = a.bars(spark, sf_dir)
-    new_month = F.month("trading_date") != F.month(F.lag("trading_date").over(w.SESSIONS))
+    new_month = F.month("trading_date") != F.month(F.lag("trading_date").over(w.sessions()))
     out = paths.wealth(bars.withColumn("dividend", F.when(new_month, F.col("close") * 0.01).otherwise(0.0)), 1000.0)
     return rounded(out, "reinvested", "cash", digits=3)
 

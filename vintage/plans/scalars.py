@@ -128,7 +128,7 @@ def logistic(spark, sf_dir):
 def circuit(spark, sf_dir):
     from ..operators import windows as w
 
-    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.SESSIONS) - 1) * 100).where("change IS NOT NULL")
+    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.sessions()) - 1) * 100).where("change IS NOT NULL")
     return x.select("company_id", "trading_date", f.circuit_locked(F.col("change")).alias("locked"))
 
 
@@ -160,7 +160,7 @@ SELECT company_id, trading_date, round(CASE WHEN pe > 0 AND growth > 0 THEN pe /
 def valuation(spark, sf_dir):
     from ..operators import windows as w
 
-    x = a.bars(spark, sf_dir).withColumns({"growth": (F.col("close") / F.lag("close", 250).over(w.SESSIONS) - 1) * 100, "pe": F.col("close") / F.min("low").over(w.last_bars(20)) * 15})
+    x = a.bars(spark, sf_dir).withColumns({"growth": (F.col("close") / F.lag("close", 250).over(w.sessions()) - 1) * 100, "pe": F.col("close") / F.min("low").over(w.last_bars(20)) * 15})
     return x.select("company_id", "trading_date", F.round(f.peg(F.col("pe"), F.col("growth"), F.lit(30.0)), 6).alias("peg"), F.round(f.fcf_yield(F.col("volume"), F.col("close") * 1000), 6).alias("fcf_yield"))
 
 

@@ -67,7 +67,7 @@ def presets(spark, sf_dir):
 
 @query("P7_top_gainers", f"""WITH {BARS}, g AS (SELECT *, (close / lag(close) OVER ({W}) - 1) * 100 AS change FROM bars) SELECT company_id, trading_date, round(change, 6) AS change FROM g WHERE change >= 2.5 AND close * volume >= 250000 AND close >= 15""")
 def top_gainers(spark, sf_dir):
-    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.SESSIONS) - 1) * 100)
+    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.sessions()) - 1) * 100)
     return x.where(p.strong_day()).select("company_id", "trading_date", F.round("change", 6).alias("change"))
 
 
@@ -128,7 +128,7 @@ def favoured_sectors(spark, sf_dir):
 SELECT company_id, trading_date, round(d * 0.30 + v * 0.25 + m * 0.45, 4) AS composite FROM s""")
 def durability(spark, sf_dir):
     x = a.bars(spark, sf_dir)
-    n = F.row_number().over(w.SESSIONS)
+    n = F.row_number().over(w.sessions())
     x = x.withColumns({"n": n, "mean50": F.avg("close").over(w.last_bars(50)), "mean200": F.avg("close").over(w.last_bars(200)), "high_52w": w.year_high(), "rvol": F.col("volume") / F.avg("volume").over(w.last_bars(20, 1))})
     k = F.col("n")
     x = x.withColumns({"financial": k % 13 == 0, "debt_to_equity": F.when(k % 3 != 0, k % 25 / 10.0), "operating_margin": F.lit(10.0), "pe": F.when(k % 4 != 0, (k % 90).cast("double")), "pb": F.lit(3.0), "rsi": F.lit(55.0)})
@@ -159,7 +159,7 @@ SELECT company_id, trading_date, round(CASE WHEN locked THEN least(raw, 0.5) WHE
 def continuation(spark, sf_dir):
     o, h, lo, cl = (F.col(k) for k in ("open", "high", "low", "close"))
     x = a.bars(spark, sf_dir).withColumns({
-        "rvol": F.col("volume") / F.avg("volume").over(w.last_bars(20, 1)), "change": (cl / F.lag("close").over(w.SESSIONS) - 1) * 100, "mean": F.avg("close").over(w.last_bars(20)), "rng": F.avg(h - lo).over(w.last_bars(14)),
+        "rvol": F.col("volume") / F.avg("volume").over(w.last_bars(20, 1)), "change": (cl / F.lag("close").over(w.sessions()) - 1) * 100, "mean": F.avg("close").over(w.last_bars(20)), "rng": F.avg(h - lo).over(w.last_bars(14)),
     })
     x = x.where("change IS NOT NULL AND rvol IS NOT NULL").join(a.delivery(spark, sf_dir), ["company_id", "trading_date"])
     x = x.withColumns({"location": f.close_location(h, lo, cl), "wick": f.upper_wick(o, h, lo, cl), "stretch": f.elasticity(cl, F.col("mean"), F.col("rng")), "locked": f.circuit_locked(F.col("change"))})
@@ -180,7 +180,7 @@ def structure_score(spark, sf_dir):
 @query("M36_continuation_radar", f"""WITH {BARS}, g AS (SELECT *, (close / lag(close) OVER ({W}) - 1) * 100 AS change FROM bars), k AS (SELECT * FROM g WHERE change >= 2.5 AND close >= 15)
 SELECT trading_date, count(*) AS gainers, round(avg(change), 6) AS mean_change, max_by(company_id, (change, company_id)) AS leader FROM k GROUP BY trading_date""")
 def continuation_radar(spark, sf_dir):
-    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.SESSIONS) - 1) * 100).where("change >= 2.5 AND close >= 15")
+    x = a.bars(spark, sf_dir).withColumn("change", (F.col("close") / F.lag("close").over(w.sessions()) - 1) * 100).where("change >= 2.5 AND close >= 15")
     return x.groupBy("trading_date").agg(F.count("*").alias("gainers"), F.round(F.avg("change"), 6).alias("mean_change"), F.max_by("company_id", F.struct("change", "company_id")).alias("leader"))
 
 

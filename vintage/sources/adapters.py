@@ -118,4 +118,4 @@ def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks ``event_id, ts, symbol, price, kind``."""
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("symbol"), F.col("value").alias("price"), F.col("event_type").alias("kind"))
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("symbol"), F.col("value").alias("price"), F.col("event_type").alias("kind"))
