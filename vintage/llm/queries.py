@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, hamming_topk, host_reputation, jaccard_join, language_id, packing, pii, token_counts, toxicity, warc
+from . import decontamination, hamming_topk, host_reputation, jaccard_join, language_id, oracles, packing, pii, token_counts, toxicity, warc
 from .common import read_table
 
 
@@ -64,4 +64,4 @@ QUERIES = {f.__name__: f for f in (
         op1_language_id, op2_hamming_topk, op3_token_counts, op4_warc, op5_jaccard_join, op6_toxicity, op7_pii, op8_packing, op9_decontamination,
         op10_url_filter,
     )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
