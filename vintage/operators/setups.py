@@ -111,10 +111,7 @@ def candidates(x: DataFrame) -> DataFrame:
     x = x.withColumn("total", total)
     ahead = [F.struct(*(F.lead(k, i).over(sessions()).alias(k) for k in ("high", "low", "open")), F.lit(i).alias("i")) for i in range(1, WATCH_BARS + 1)]
     x = x.withColumn("ahead", F.array(*ahead))
-    reached = F.element_at(F.filter("ahead", lambda b: b["high"] >= F.col("pivot")), 1)
-    touched = F.element_at(F.filter("ahead", lambda b: b["low"] <= F.col("stop")), 1)
     x = x.withColumns({"reached": F.try_element_at(F.filter("ahead", lambda b: b["high"] >= F.col("pivot")), F.lit(1)), "touched": F.try_element_at(F.filter("ahead", lambda b: b["low"] <= F.col("stop")), F.lit(1))})
-    del reached, touched
     watch = (F.col("status") == "TRIGGER_WATCH") & F.col("reached").isNotNull() & (F.col("touched").isNull() | (F.col("reached")["i"] < F.col("touched")["i"]))
     gates = (F.col("n") > WARM_UP) & (F.col("total") >= LEAST_BARS) & (F.col("n") <= F.col("total") - COOL_DOWN) & (F.col("risk_pct") <= MAX_RISK_PCT) & (F.col("risk_pct") > 0) & (F.col("reward") >= MIN_REWARD)
     now = F.col("status") == "ACTIONABLE_BUY"
@@ -182,12 +179,14 @@ def label(entries: DataFrame, bars: DataFrame, optimistic: bool = False) -> Data
 
 def take(labelled: DataFrame) -> DataFrame:
     """Trades that do not overlap: after an exit, signals wait for the cool-down. One fold over a company's candidates."""
-    lists = labelled.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("signal_n", "exit_n"))).alias("cs"))
-    start = F.struct(F.lit(-COOL_DOWN - 1).cast("int").alias("last"), F.array().cast("array<int>").alias("taken"))
+    rest = [c for c in labelled.columns if c not in ("company_id", "signal_n", "exit_n")]
+    lists = labelled.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("signal_n", "exit_n", *rest))).alias("cs"))
+    none = F.filter("cs", lambda t: F.lit(False))
+    start = F.struct(F.lit(-COOL_DOWN - 1).cast("int").alias("last"), none.alias("taken"))
 
     def step(s: Column, t: Column) -> Column:
         free = t["signal_n"] > s["last"] + COOL_DOWN
-        return F.struct(F.when(free, t["exit_n"]).otherwise(s["last"]).cast("int").alias("last"), F.when(free, F.concat(s["taken"], F.array(t["signal_n"].cast("int")))).otherwise(s["taken"]).alias("taken"))
+        return F.struct(F.when(free, t["exit_n"].cast("int")).otherwise(s["last"]).alias("last"), F.when(free, F.concat(s["taken"], F.array(t))).otherwise(s["taken"]).alias("taken"))
 
-    chosen = lists.select("company_id", F.explode(F.aggregate("cs", start, step, lambda s: s["taken"])).alias("signal_n"))
-    return labelled.join(chosen, ["company_id", "signal_n"])
+    chosen = lists.select("company_id", F.explode(F.aggregate("cs", start, step, lambda s: s["taken"])).alias("t"))
+    return chosen.select("company_id", "t.*").select(*labelled.columns)

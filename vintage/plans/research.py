@@ -110,9 +110,7 @@ def truth_audit(spark, sf_dir):
 def outcome_labels(spark, sf_dir):
     bars = a.bars(spark, sf_dir)
     o = paths.outcomes(bars, paths.year_anchors(bars))
-    best = F.col("max_run") / 100 + 1
     label = F.when(F.col("bar_5x").isNotNull(), "5X").when(F.col("bar_2x").isNotNull(), "2X").when(F.col("max_drawdown") <= -50, "FAILED").otherwise("NEUTRAL")
-    del best
     return o.select("company_id", "t0", F.round(F.col("p_last") / F.col("p0") - 1, 6).alias("last_return"), label.alias("label"))
 
 
