@@ -279,3 +279,51 @@ def canonical_hash(columns: list[str]) -> Column:
     """SHA-256 of ``name=value`` pairs in order of name; numbers with six decimals, nulls as ``null``."""
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("decimal(38,6)").cast("string"), F.lit("null"))) for c in sorted(columns)]
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+# --- companies and quotes ------------------------------------------------------------------
+
+#: What a thesis must not say on both sides: (for, against, name).
+CONTRADICTIONS = (
+    ("strong liquidity", ("insufficient liquidity", "illiquid"), "LIQUIDITY"), ("attractive valuation", ("expensive valuation",), "VALUATION"),
+    ("accelerating revenue", ("revenue contraction",), "GROWTH"),
+)
+
+
+def contradictions(reasons_for: Column, reasons_against: Column) -> Column:
+    """Names of the contradictions between two arrays of reasons."""
+    good, bad = F.lower(F.array_join(reasons_for, " ")), F.lower(F.array_join(reasons_against, " "))
+    found = []
+    for claim, denials, name in CONTRADICTIONS:
+        denied = F.exists(F.array(*(F.lit(d) for d in denials)), lambda d: F.contains(bad, d))
+        found.append(F.when(F.contains(good, F.lit(claim)) & denied, name))
+    return F.array_compact(F.array(*found))
+
+
+def terminal_return(start: Column, *recovered: Column) -> Column:
+    """Return in percent when a company ends: what is recovered a share against the price at the start."""
+    price = F.when(start > 0, start).otherwise(1.0)
+    return (sum(recovered, F.lit(0.0)) - price) / price * 100
+
+
+def reinvestment(growth_capex: Column, working_capital: Column, nopat: Column) -> tuple[Column, Column]:
+    """Growth reinvestment rate in percent, and the posture that it means."""
+    rate = (growth_capex + F.greatest(working_capital, F.lit(0.0))) / F.greatest(nopat, F.lit(1.0)) * 100
+    return rate, F.when(rate > 70, "AGGRESSIVE_EXPANSION").when(rate >= 30, "BALANCED_COMPOUNDER").otherwise("CASH_DISTRIBUTOR")
+
+
+def days_outstanding(balance: Column, flow: Column, days: int = 365) -> Column:
+    return F.when((balance >= 0) & (flow > 0), balance / flow * days)
+
+
+def cash_cycle(dso: Column, dio: Column, dpo: Column) -> Column:
+    """Cash conversion cycle; inventories and payables that are missing count 0, receivables do not."""
+    return dso + F.coalesce(dio, F.lit(0.0)) - F.coalesce(dpo, F.lit(0.0))
+
+
+def gap_character(gap: Column) -> Column:
+    return F.when(gap >= 4.5, "EXHAUSTION_GAP_WARNING").when(gap >= 0.5, "GAP_AND_GO").when(gap >= -1.5, "FLAT_OPEN_SURGE").otherwise("GAP_DOWN_REVERSAL")
+
+
+def session_phase(minute: Column) -> Column:
+    return F.when(minute < 615, "OPENING_RANGE_WINDOW").when(minute < 810, "MIDDAY_CHOP_ZONE").otherwise("AFTERNOON_TREND_RUN")
