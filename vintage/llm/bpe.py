@@ -130,14 +130,11 @@ class WordMemory:
         return self.flat[at], lengths
 
 
-_MEMORIES: dict[str, WordMemory] = {}
-
-
 def memory_for(path: str) -> WordMemory:
     """One memory per worker process and file; it outlives the task."""
-    if path not in _MEMORIES:
-        _MEMORIES[path] = WordMemory(tokenizer_at(path))
-    return _MEMORIES[path]
+    from .common import remembered
+
+    return remembered(("words", path), lambda: WordMemory(tokenizer_at(path)))
 
 
 def _tail(numbers: dict, known: int) -> list[bytes]:
@@ -150,11 +147,6 @@ def _tail(numbers: dict, known: int) -> list[bytes]:
     return out[::-1]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def tokenizer_at(path: str) -> WordTokenizer:
-    """One tokenizer per worker process and file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """One tokenizer per word memory, or one per task where there is none."""
+    return WordTokenizer(path)

@@ -6,6 +6,9 @@ that Arrow hands workers bytes and nobody encodes twice.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,7 +61,7 @@ def utf8(text: str = "text") -> Column:
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Consecutive rows of the batches with about ``limit`` bytes of text each (one long text may exceed it)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())  # a view, also of strings
         at = 0
         while at < batch.num_rows:
             got, n, end = [], 0, at
@@ -70,6 +73,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = end
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(what, make):
+    """What a worker keeps between tasks, of one operator at a time: another operator's memory is given back first."""
+    if what not in _REMEMBERED:
+        if _REMEMBERED:
+            _REMEMBERED.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _REMEMBERED[what] = make()
+    return _REMEMBERED[what]
+
+
 class Numbering(dict):
     """Numbers things from 0 in the order in which they are first looked up."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import remembered, slices, utf8
 
 #: Consecutive words of a window.
 WINDOW_WORDS = 10
@@ -107,6 +107,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 def _scan(group, window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("benchmark", dict)  # keeps nothing, gives back what others kept
         vocabulary, automata = build(group.value, window)
         number = vocabulary.get
         for batch, texts in slices(batches, "utf8"):
@@ -162,25 +163,24 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_W
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The documents of ``docs`` without any window of the benchmark, with all their columns."""
-    names = docs.columns
 
     def keep(group):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            remembered("benchmark", dict)  # keeps nothing, gives back what others kept
             vocabulary, automata = build(group.value, window)
             number = vocabulary.get
-            for batch, texts in slices(batches, "__utf8"):
+            for batch, texts in slices(batches, "text"):
                 clean = []
                 for text in texts:
                     numbers = [number(w, 0) for w in words_of(text)]
                     clean.append(not any(numbers) or not any(True for a in automata for _ in a.search(numbers)))
-                kept = batch.filter(pa.array(clean))
-                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names)
+                yield batch.filter(pa.array(clean))
 
         return run
 
     context, out = docs.sparkSession.sparkContext, docs
     for group in benchmark_groups(benchmark, group_bytes):
-        out = out.withColumn("__utf8", utf8()).mapInArrow(keep(context.broadcast(group)), docs.schema)
+        out = out.mapInArrow(keep(context.broadcast(group)), docs.schema)
     return out
 
 

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, utf8
+from .common import materialise, remembered, slices, utf8
 
 N_WORDS = 5
 PERCENT = 75
@@ -57,7 +57,7 @@ HEAVY = 64
 #: Entries of a bucket of the exchange; with it grows a task's memory.
 BUCKET_ENTRIES = 700_000
 #: Words whose hashes a worker remembers before it starts afresh; affects speed only.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Sets of a block of the prefix tree.
 BLOCK_SETS = 2_000
 #: Members of each component that meet first when blocks are merged.
@@ -76,9 +76,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -87,11 +84,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], n: int = N_WORDS) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
+    hashes_of = remembered("word hashes", _WordHashes)
+    if len(hashes_of) > REMEMBERED:
+        hashes_of.clear()
     words = [t.lower().split() for t in texts]
     sizes = [len(w) for w in words]
-    hashes = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
+    hashes = np.fromiter(map(hashes_of.__getitem__, chain.from_iterable(words)), np.uint64, sum(sizes))
     grams = np.zeros(0, np.uint64)
     if len(hashes) >= n:
         grams = _mix(sum(hashes[i : len(hashes) - n + 1 + i] * _MULTIPLIERS[i] for i in range(n)))

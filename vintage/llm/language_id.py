@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Numbering, held_out, slices, utf8
+from .common import Numbering, held_out, remembered, slices, utf8
 
 #: Longest n-gram, in characters.
 ORDER = 5
@@ -263,21 +263,15 @@ def sample(docs: DataFrame, per_language: int) -> list[tuple[str, bytes]]:
     return [(r.lang, bytes(r.utf8)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "utf8").select("lang", "utf8").toLocalIterator()]
 
 
-_HERE: dict[int, Identifier] = {}
-
-
 def _identify(broadcast):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = broadcast.value
-        key = id(models)
-        if models and key not in _HERE:
-            _HERE.clear()
-            _HERE[key] = Identifier(models)
+        identifier = remembered(("languages", id(models)), lambda: Identifier(models)) if models else None
         for batch, texts in slices(batches, "utf8"):
             n = len(texts)
             lang, score, rejected, bits = ["und"] * n, np.zeros(n), np.ones(n, bool), np.full(n, np.nan)
             if models:
-                entropy, size = _HERE[key].entropies(texts)
+                entropy, size = identifier.entropies(texts)
                 best = entropy.argmin(1)
                 some = size > 0
                 lang = [models.languages[b] if s else "und" for b, s in zip(best, some, strict=True)]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import remembered, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE_KINDS = KINDS[:4]
@@ -136,7 +136,7 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    finder = AnchorFinder()
+    finder = remembered("anchors", AnchorFinder)
     for batch, texts in slices(batches, "utf8"):
         spans = [[{"kind": k, "start": a, "end": b} for k, a, b in finder.find(t.decode("utf-8", "replace"))] for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN)], ["doc_id", "spans"])
@@ -168,8 +168,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = AnchorFinder()
-        for batch in batches:
+        finder = remembered("anchors", AnchorFinder)
+        for batch, _ in slices(batches, text):
             out = [None if t is None else _redacted(t, finder) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names)
 

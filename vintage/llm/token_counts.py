@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer_at
-from .common import Numbering, materialise, slices, utf8
+from .common import Numbering, materialise, remembered, slices, utf8
 
 #: Text of a block; with it grow a worker's memory and the compression of pre-tokens to one row a block.
 BLOCK_BYTES = 32 << 20
@@ -97,7 +97,7 @@ def _rows(kind: int, block: int, n: int, **columns) -> pa.RecordBatch:
 
 def _encode(path: str, block_bytes: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, partition = tokenizer_at(path), TaskContext.get().partitionId()
+        tokenizer, partition = remembered(("pieces", path), lambda: tokenizer_at(path)), TaskContext.get().partitionId()
         block = _Block(tokenizer, partition << 32)
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _encode(path: str, block_bytes: int):
 
 def _count(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, counts = tokenizer_at(path), {}
+        tokenizer, counts = remembered(("pieces", path), lambda: tokenizer_at(path)), {}
         for batch in batches:
             out = []
             for piece in batch.column(2).to_pylist():

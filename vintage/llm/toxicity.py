@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, utf8
+from .common import held_out, remembered, slices, utf8
 
 #: Labelled documents of each class that the classifier is fitted on, at most (those of the lowest id hash).
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 1_500, 4_500
@@ -232,6 +232,7 @@ def score_texts(model: Model, texts: list[bytes], compressors: list[zstandard.Zs
 
 def _score(broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", dict)  # keeps nothing, gives back what others kept
         model = broadcast.value
         compressors = model.dictionaries.compressors() if model else None
         for batch, texts in slices(batches, "utf8"):
@@ -254,14 +255,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TO
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(*sample(docs, labels, SAMPLE_TOXIC, SAMPLE_ORDINARY)))
-    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("toxicity", dict)  # keeps nothing, gives back what others kept
         fitted = model.value
         compressors = fitted.dictionaries.compressors() if fitted else None
-        for batch, texts in slices(batches, "__utf8"):
+        for batch, texts in slices(batches, "text"):
             scores = score_texts(fitted, texts, compressors) if fitted else np.zeros(len(texts))
-            kept = batch.filter(pa.array(scores < threshold))
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names)
+            yield batch.filter(pa.array(scores < threshold))
 
-    return docs.withColumn("__utf8", utf8()).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
