@@ -32,12 +32,12 @@ def contraction(x: DataFrame) -> DataFrame:
 
 
 def contraction_percentile(x: DataFrame) -> DataFrame:
-    """Share, in percent, of the earlier samples (bars 30, 33, ...) whose ratio does not exceed the rounded current one."""
+    """Share, in percent, of the earlier samples (bars 30, 33, ...) whose ratio does not exceed the rounded current one; 50 before bar 45."""
     before = sessions().rowsBetween(Window.unboundedPreceding, -1)
     sample = F.collect_list(F.when((F.col("n") >= 30) & (F.col("n") % 3 == 0), F.col("ratio"))).over(before)
     now = F.round("ratio", 2)
     share = F.size(F.filter(sample, lambda r: r <= now)) / F.size(sample) * 100
-    return x.withColumn("percentile", F.when(F.size(sample) > 0, share).otherwise(50.0))
+    return x.withColumn("percentile", F.when((F.col("n") >= 45) & (F.size(sample) > 0), share).otherwise(50.0))
 
 
 def accumulation(x: DataFrame, bars: int = 19) -> DataFrame:

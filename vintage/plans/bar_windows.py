@@ -55,9 +55,19 @@ SELECT p.company_id, p.trading_date, round(CASE WHEN coalesce(k.bars, 0) < 14 TH
   ELSE 100 - 100 / (1 + k.g / k.l) END, 4) AS rsi14
 FROM picked p LEFT JOIN walk k ON k.company_id = p.company_id AND k.trading_date = p.trading_date AND k.at = greatest(p.n, p.first_n + 14)""")
 def wilder_rsi(spark, sf_dir):
-    """Sampled bars are the feature: every 97th session of a company and its first twenty."""
+    """The bars that the recursive SQL can reach: every 97th session of a company and its first twenty. ``W3_wilder_rsi_all`` has every bar."""
+    return rounded(_rsi(spark, sf_dir).where("n % 97 = 0 OR n <= 20"), "rsi14")
+
+
+@query("W3_wilder_rsi_all")
+def wilder_rsi_all(spark, sf_dir):
+    """Every bar of every company; no SQL, as a recursion from each bar is too slow there. A test holds it against a plain loop."""
+    return rounded(_rsi(spark, sf_dir), "rsi14")
+
+
+def _rsi(spark, sf_dir):
     bars = a.bars(spark, sf_dir).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("n", F.row_number().over(w.sessions()))
-    return rounded(bars.withColumn("rsi14", w.wilder_rsi()).where("n % 97 = 0 OR n <= 20"), "rsi14")
+    return bars.withColumn("rsi14", w.wilder_rsi())
 
 
 @query("W4_year_range", f"""WITH {BARS} SELECT company_id, trading_date, round(max(high) OVER {over(252)}, 6) AS high_252, round(min(low) OVER {over(252)}, 6) AS low_252,
@@ -116,9 +126,21 @@ def contraction(spark, sf_dir):
 SELECT s.company_id, s.trading_date, round(s.ratio, 4) AS ratio, round(count(*) FILTER (h.ratio <= round(s.ratio, 2)) * 100.0 / count(*), 1) AS percentile
 FROM sampled s JOIN ratios h ON h.company_id = s.company_id AND h.n >= 30 AND h.n < s.n AND h.n % 3 = 0 GROUP BY ALL""")
 def atr_contraction(spark, sf_dir):
-    """Percentile of the contraction among earlier samples (every third bar from bar 30), reported for every 60th bar of a company."""
+    """Percentile of the contraction among earlier samples (every third bar from bar 30), for every 60th bar of a company. ``W9_atr_contraction_all`` has every bar."""
+    return _contraction(spark, sf_dir, "n % 60 = 0")
+
+
+@query("W9_atr_contraction_all", f"""WITH {BARS}, {TR}, ratios AS (SELECT *, avg(true_range) OVER {over(10)} / nullif(avg(true_range) OVER {over(30)}, 0) AS ratio FROM ranged)
+SELECT s.company_id, s.trading_date, round(s.ratio, 4) AS ratio, CASE WHEN s.n < 45 OR count(h.ratio) = 0 THEN 50.0 ELSE round(count(*) FILTER (h.ratio <= round(s.ratio, 2)) * 100.0 / count(h.ratio), 1) END AS percentile
+FROM ratios s LEFT JOIN ratios h ON h.company_id = s.company_id AND h.n >= 30 AND h.n < s.n AND h.n % 3 = 0 GROUP BY s.company_id, s.trading_date, s.n, s.ratio""")
+def atr_contraction_all(spark, sf_dir):
+    """Every bar of every company; 50 for the first 44."""
+    return _contraction(spark, sf_dir, "true")
+
+
+def _contraction(spark, sf_dir, reported: str):
     x = w.indicators(a.bars(spark, sf_dir)).withColumn("ratio", F.col("atr10") / F.when(F.col("atr30") != 0, F.col("atr30")))
-    x = paths.contraction_percentile(x).where("n % 60 = 0")
+    x = paths.contraction_percentile(x).where(reported)
     return x.select(*KEY, F.round("ratio", 4).alias("ratio"), F.round("percentile", 1).alias("percentile"))
 
 
@@ -256,11 +278,18 @@ def wick_trap(spark, sf_dir):
 FROM bars a JOIN bars b ON a.company_id = b.company_id AND b.trading_date BETWEEN a.trading_date - 1095 AND a.trading_date
 WHERE day(a.trading_date) = 15 GROUP BY a.company_id, a.trading_date""")
 def percentile(spark, sf_dir):
-    """Rank of the close within its last three years, reported for sessions on the 15th."""
+    """Rank of the close within its last three years, for sessions on the 15th. ``W35_percentile_all`` has every session."""
     bars = a.bars(spark, sf_dir)
     return paths.trailing_percentile(bars, F.dayofmonth("trading_date") == 15, 1095).select(*KEY, F.round("percentile", 6).alias("percentile"))
 
 
+@query("W35_percentile_all", f"""WITH {BARS} SELECT a.company_id, a.trading_date, round(count(*) FILTER (b.close < a.close) * 1.0 / greatest(count(*) - 1, 1), 6) AS percentile
+FROM bars a JOIN bars b ON a.company_id = b.company_id AND b.trading_date BETWEEN a.trading_date - 1095 AND a.trading_date GROUP BY a.company_id, a.trading_date""")
+def percentile_all(spark, sf_dir):
+    """Every session of every company."""
+    return paths.trailing_percentile(a.bars(spark, sf_dir), F.lit(True), 1095).select(*KEY, F.round("percentile", 6).alias("percentile"))
+
+
 YOY = f"""{FILINGS}, q AS (SELECT * FROM filings WHERE vintage = 0), yoy AS (SELECT c.company_id, c.period_end, c.revenue, p.revenue AS prior,
   (c.revenue / nullif(p.revenue, 0) - 1) * 100 AS growth FROM q c LEFT JOIN q p ON p.company_id = c.company_id AND year(p.period_end) = year(c.period_end) - 1
   AND month(p.period_end) = month(c.period_end))"""
