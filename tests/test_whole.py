@@ -58,3 +58,15 @@ def test_rsi_of_every_bar_matches_a_plain_loop(spark):
 @pytest.mark.parametrize("name", ["W9_atr_contraction_all", "W35_percentile_all"])
 def test_every_bar_is_reported(spark, name):
     assert agrees(spark, name, ["company_id", "trading_date"]) == adapters.bars(spark, SMALL).count()
+
+
+@pytest.mark.parametrize(("name", "keys"), [
+    ("F22_implied_growth_all", ["o_orderkey"]),
+    ("S11_snapshot_all", ["company_id", "period_end", "vintage"]),
+    ("J15_absorbed_all", ["company_id", "happened"]),
+])
+def test_no_company_or_key_is_left_out(spark, name, keys):
+    n = agrees(spark, name, keys)
+    filings = adapters.filings(spark, SMALL)
+    whole = {"F22": adapters.table(spark, SMALL, "orders"), "S11": filings, "J15": filings.select("company_id", "period_end").distinct()}
+    assert n == whole[name[:3]].count()

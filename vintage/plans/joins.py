@@ -128,8 +128,21 @@ def prior_year_window(spark, sf_dir):
 @query("J15_absorbed", f"""WITH {FILINGS}, e AS (SELECT company_id, period_end + 10 AS happened FROM filings WHERE vintage = 0 AND quarter(period_end) = 1)
 SELECT e.company_id, e.happened, count(f.published) AS later, count(f.published) >= 2 AS absorbed FROM e LEFT JOIN filings f ON f.company_id = e.company_id AND f.published > e.happened GROUP BY 1, 2""")
 def absorbed(spark, sf_dir):
+    """Events of first quarters, as in the SQL. ``J15_absorbed_all`` has those of all filings."""
     f = a.filings(spark, sf_dir)
-    e = f.where("vintage = 0 AND quarter(period_end) = 1").select("company_id", F.date_add("period_end", 10).alias("happened"))
+    return _absorbed(f, f.where("vintage = 0 AND quarter(period_end) = 1"))
+
+
+@query("J15_absorbed_all", f"""WITH {FILINGS}, e AS (SELECT DISTINCT company_id, period_end + 10 AS happened FROM filings)
+SELECT e.company_id, e.happened, count(f.published) AS later, count(f.published) >= 2 AS absorbed FROM e LEFT JOIN filings f ON f.company_id = e.company_id AND f.published > e.happened GROUP BY 1, 2""")
+def absorbed_all(spark, sf_dir):
+    """One event ten days after the end of every quarter that has a filing of any vintage."""
+    f = a.filings(spark, sf_dir)
+    return _absorbed(f, f.select("company_id", "period_end").distinct())
+
+
+def _absorbed(f, filed):
+    e = filed.select("company_id", F.date_add("period_end", 10).alias("happened"))
     x = e.join(f.select(F.col("company_id").alias("c"), "published"), (F.col("company_id") == F.col("c")) & (F.col("published") > F.col("happened")), "left")
     return x.groupBy("company_id", "happened").agg(F.count("published").alias("later")).withColumn("absorbed", F.col("later") >= 2)
 

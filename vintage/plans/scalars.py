@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as f
 from ..sources import adapters as a
-from .registry import query
+from .registry import SQL, query
 from .views import BARS, DELIVERY, FILINGS, W, over
 
 DOCS = "documents"
@@ -171,10 +171,19 @@ def valuation(spark, sf_dir):
    FROM (SELECT *, (lo + hi) / 2 AS mid, (1 + (lo + hi) / 200) / 1.12 AS q FROM b WHERE step <= 60))))
 SELECT o_orderkey, round((lo + hi) / 2, 4) AS implied FROM b WHERE step = 61""")
 def implied_growth(spark, sf_dir):
-    """Every tenth order stands for a company."""
-    o = a.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    """Every tenth order stands for a company, as in the SQL. ``F22_implied_growth_all`` has all orders."""
+    return _implied(a.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
+
+
+@query("F22_implied_growth_all", SQL["F22_implied_growth"].replace(" WHERE o_orderkey % 10 = 0", ""))
+def implied_growth_all(spark, sf_dir):
+    """Every order stands for a company."""
+    return _implied(a.table(spark, sf_dir, "orders"))
+
+
+def _implied(orders):
     cash = F.col("o_totalprice") / 100
-    return o.select("o_orderkey", F.round(f.implied_growth(cash, cash * (5 + F.col("o_orderkey") % 60)), 4).alias("implied"))
+    return orders.select("o_orderkey", F.round(f.implied_growth(cash, cash * (5 + F.col("o_orderkey") % 60)), 4).alias("implied"))
 
 
 @query("F23_expectations", """SELECT c_custkey, CASE WHEN gap >= 10 THEN 'DEEPLY_UNDERVALUED' WHEN gap >= 3 THEN 'UNDERVALUED' WHEN gap > -3 THEN 'FAIR' WHEN gap > -10 THEN 'DEMANDING' ELSE 'EXTREME' END AS regime
