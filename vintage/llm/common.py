@@ -9,11 +9,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no such folder (tests on one machine) a local
-    one is made and set.
+    A session that names no such folder is refused: a folder of this machine
+    would not do on a cluster.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -73,6 +73,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = end
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As ``slices``, with the texts as an Arrow array of bytes without nulls."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).fill_null(b"")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, end - at), column.slice(at, end - at)
+            at = end
+
+
 _REMEMBERED: dict = {}
 
 
@@ -82,6 +95,7 @@ def remembered(what, make):
         if _REMEMBERED:
             _REMEMBERED.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # only where the C library can
                 ctypes.CDLL(None).malloc_trim(0)
         _REMEMBERED[what] = make()

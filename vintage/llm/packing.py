@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import memory_for
-from .common import slices, utf8
+from .common import text_slices, utf8
 
 WINDOW = 4096
+#: Text bytes tokenised at a time; bounds a worker's arrays of token ids.
+TEXT_BYTES = 8 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -76,7 +77,7 @@ class _Packer:
             self.emit([(doc, at, ids[at : at + self.window], len(ids))])
         if whole == len(ids):
             return
-        piece = (doc, whole, ids[whole:], len(ids))
+        piece = (doc, whole, ids[whole:].copy(), len(ids))  # an open piece must not keep its whole document
         size = len(ids) - whole
         level = self.rule.place(size)
         pieces = self.open[level].pop() if level else []
@@ -138,10 +139,9 @@ def _pack(path: str, end_id: int, window: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_for(path)
         packer = _Packer(window, TaskContext.get().partitionId() << 36)
-        for batch, texts in slices(batches, "utf8"):
-            words = [t.split() for t in texts]
-            ids, lengths = memory.token_ids(memory.number(list(chain.from_iterable(words))))
-            ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)]
+        for batch, texts in text_slices(batches, "utf8", TEXT_BYTES):
+            ids, lengths = memory.token_ids(texts)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
             for doc, a, b in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:], strict=True):
                 packer.add(doc, np.append(ids[a:b], np.uint32(end_id)))
             yield _batch(packer.rows)

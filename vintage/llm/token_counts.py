@@ -18,20 +18,22 @@ kept; repeated rows are counted each for itself; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import tokenizer_at
-from .common import Numbering, materialise, remembered, slices, utf8
+from .bpe import Words, WordTokenizer, memory_for, spans
+from .common import materialise, text_slices, utf8
 
 #: Text of a block; with it grow a worker's memory and the compression of pre-tokens to one row a block.
 BLOCK_BYTES = 32 << 20
+#: Text bytes that are split at a time.
+TEXT_BYTES = 8 << 20
 
 
 def _pack(numbers: np.ndarray, freqs: np.ndarray) -> bytes:
@@ -47,48 +49,33 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Block:
-    def __init__(self, tokenizer, number: int):
+    def __init__(self, tokenizer: WordTokenizer, number: int):
         self.tokenizer, self.number, self.bytes = tokenizer, number, 0
-        self.words, self.pieces = Numbering(), Numbering()
-        self.parts: list[np.ndarray] = []
-        self.starts = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.int64)
-
-    def frequencies(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = len(self.words)
-        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
-        fresh = []
-        for word in reversed(self.words):
-            if self.words[word] < known:
-                break
-            fresh.append(word)
-        piece = self.pieces.__getitem__
-        found = [[piece(p) for p in self.tokenizer.pieces(w)] for w in reversed(fresh)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int64)])
-        lengths = self.starts[numbers + 1] - self.starts[numbers]
-        ends = np.cumsum(lengths)
-        pieces = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        piece_bounds = np.concatenate([[0], ends])[bounds]
-        press = zstandard.ZstdCompressor(level=1)
-        out = []
-        for a, b in zip(piece_bounds[:-1], piece_bounds[1:], strict=True):
-            out.append(press.compress(_pack(*np.unique(pieces[a:b], return_counts=True))))
-        self.bytes += sum(map(len, texts))
-        return out
+        self.pieces = pa.array([], pa.string())
+
+    def frequencies(self, texts: pa.Array) -> list[bytes]:
+        """Per text, its pieces' numbers in this block and how often it has them, packed."""
+        found = Words(self.tokenizer, texts)
+        at = pc.index_in(found.pieces, value_set=self.pieces)
+        fresh = at.is_null().to_numpy(zero_copy_only=False)
+        numbers = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbers[fresh] = len(self.pieces) + np.arange(fresh.sum())
+        self.pieces = pa.concat_arrays([self.pieces, found.pieces.filter(pa.array(fresh))])
+        self.bytes += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+        lengths = found.lengths[found.words]
+        pieces = numbers[found.word_pieces[spans(found.starts[found.words], lengths)]]
+        ends, bounds = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(found.text_words)])
+        ends, press = ends[bounds], zstandard.ZstdCompressor(level=1)
+        return [press.compress(_pack(*np.unique(pieces[a:b], return_counts=True))) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _rows(kind: int, block: int, n: int, **columns) -> pa.RecordBatch:
     arrays = {
         "doc_id": columns.get("doc_id", pa.nulls(n, pa.int64())),
-        "n_bytes": pa.array(columns.get("n_bytes", [None] * n), pa.int64()),
+        "n_bytes": columns.get("n_bytes", pa.nulls(n, pa.int64())),
         "freqs": pa.array(columns.get("freqs", [None] * n), pa.binary()),
         "number": pa.array(columns.get("number", [None] * n), pa.int32()),
-        "piece": pa.array(columns.get("piece", [None] * n), pa.string()),
+        "piece": columns.get("piece", pa.nulls(n, pa.string())),
         "block": pa.array([block] * n, pa.int64()),
         "kind": pa.array([kind] * n, pa.int32()),
     }
@@ -97,21 +84,20 @@ def _rows(kind: int, block: int, n: int, **columns) -> pa.RecordBatch:
 
 def _encode(path: str, block_bytes: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, partition = remembered(("pieces", path), lambda: tokenizer_at(path)), TaskContext.get().partitionId()
-        block = _Block(tokenizer, partition << 32)
+        tokenizer = memory_for(path).tokenizer
+        block = _Block(tokenizer, TaskContext.get().partitionId() << 32)
 
         def close() -> Iterator[pa.RecordBatch]:
-            pieces = list(block.pieces)
-            for at in range(0, len(pieces), 50_000):
-                some = pieces[at : at + 50_000]
+            for at in range(0, len(block.pieces), 50_000):
+                some = block.pieces.slice(at, 50_000)
                 yield _rows(1, block.number, len(some), number=range(at, at + len(some)), piece=some)
 
-        for batch, texts in slices(batches, "utf8"):
-            if block.bytes and block.bytes + sum(map(len, texts)) > block_bytes:
+        for batch, texts in text_slices(batches, "utf8", min(TEXT_BYTES, block_bytes)):
+            if block.bytes >= block_bytes:
                 yield from close()
                 block = _Block(tokenizer, block.number + 1)
             freqs = block.frequencies(texts)
-            yield _rows(0, block.number, len(texts), doc_id=batch.column(0).cast(pa.int64()), n_bytes=list(map(len, texts)), freqs=freqs)
+            yield _rows(0, block.number, len(texts), doc_id=batch.column(0).cast(pa.int64()), n_bytes=pc.binary_length(texts).cast(pa.int64()), freqs=freqs)
         yield from close()
 
     return encode
@@ -119,17 +105,12 @@ def _encode(path: str, block_bytes: int):
 
 def _count(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, counts = remembered(("pieces", path), lambda: tokenizer_at(path)), {}
+        memory = memory_for(path)
         for batch in batches:
-            out = []
-            for piece in batch.column(2).to_pylist():
-                n = counts.get(piece)
-                if n is None:
-                    if len(counts) > 2_000_000:
-                        counts.clear()
-                    n = counts[piece] = len(tokenizer.piece_ids(piece))
-                out.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], ["block", "number", "n"])
+            coded = batch.column(2).dictionary_encode()
+            at = memory.number(coded.dictionary)
+            n = memory.lengths[at][coded.indices.to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32())], ["block", "number", "n"])
 
     return count
 
