@@ -369,3 +369,43 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, sf).columns == docs.columns, name
     assert corpus_pipeline.run(spark, sf).select(F.countDistinct("doc_id")).first()[0] > 0
+
+
+def frames(data):
+    """The offset, length and content of each frame of an archive, read one by one with its dictionary."""
+    import struct
+
+    import zstandard
+
+    magic, size = struct.unpack("<II", data[:8])
+    assert magic == warc.DICTIONARY_FRAME and data[:4] == b"\x5d\x2a\x4d\x18"
+    press, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])), 8 + size
+    while at < len(data):
+        one = press.decompressobj()
+        content = one.decompress(data[at:])
+        end = len(data) - len(one.unused_data)
+        yield at, end - at, content
+        at = end
+
+
+@pytest.mark.parametrize(("count", "broadcast"), [(400, 1 << 20), (3, 1 << 20), (400, 0)])
+def test_files_that_spark_wrote_hold_one_frame_a_record(spark, monkeypatch, count, broadcast):
+    """Bytes on disk: the dictionary's skippable frame, then a frame for every record, each readable alone; several archives, repeats, clashing columns."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    rng = random.Random(12)
+    html = {i: "copy " * 30 if i % 3 == 0 else " ".join(words(rng, 60)) for i in range(count)}
+    rows = [(i, f"http://h/{i}", h, "clash", 1) for i, h in html.items()] + [(0, "http://h/0", html[0], "clash", 1), (1, "http://h/1", html[1], "clash", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first int").repartition(2)
+    manifest, folder = warc.write_archives(pages, broadcast_bytes=broadcast)
+    listed = manifest.collect()
+    assert sum(m.records for m in listed) == count + 2 and all(m.dictionary_bytes > 0 for m in listed)
+    assert len(listed) > 2 or count == 3
+    payloads = 0
+    for m in listed:
+        data = open(m.archive.removeprefix("file:"), "rb").read()
+        found = list(frames(data))
+        assert len(found) == m.records and all(c.startswith(b"WARC/1.1\r\n") and c.count(b"WARC-Record-ID") == 1 for _, _, c in found)
+        payloads += sum(b"WARC-Type: response" in c for _, _, c in found)
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(manifest, folder).collect())
+    want = Counter((i, "response", None) if i == 0 or i % 3 else (i, "revisit", 0) for i in [*html, 0, 1])
+    assert got == want and payloads == sum(n for (_, kind, _), n in want.items() if kind == "response")

@@ -1,19 +1,24 @@
 """WARC archives compressed record by record with an embedded Zstandard dictionary.
 
-Writing: rows with equal payloads are found by digest (partial minimum of the
-page id, then a join on the digest; only rows that become responses carry their
-payload on). Each task writes archives of bounded size to the shared folder. A
-dictionary is built from the first records of the archive, put in front as a
-skippable frame, and every record is one frame compressed with it. Names hold
-the task attempt; the manifest that Spark commits lists the archives of the
-attempts that counted, so a lost task leaves at most an unlisted file.
+Writing: digests are grouped with a partial minimum of the page id; only digests
+that repeat are looked up. While their table is small by measure it is broadcast
+and no page moves. Beyond that, rows meet it without their payloads, so that a
+page copied very often costs a digest each; payloads move by (digest, page id)
+and only those of responses go on. Each task writes archives of bounded size to
+the shared folder. A dictionary is built from records of the archive and put in
+front as a skippable frame; every record is one frame compressed with it, which
+can be read alone from its offset. Names hold the task attempt; the manifest that
+Spark commits lists the archives of the attempts that counted, so a lost task
+leaves at most an unlisted file.
 
 Reading: one task per archive streams the records and recomputes every digest.
 
 Edge cases: a null payload is empty; a null url gives no target URI; rows of a
 null page id are written, and never are what others refer to unless nothing else
 could be; rows that repeat the first page's id and payload are each a response;
-payloads under ``min_bytes`` are always responses; an empty table gives no rows.
+payloads under ``min_bytes`` are always responses; an archive of too few records
+for the library's trainer takes the records themselves as its dictionary; columns
+other than ``page_id, url, html`` are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +48,10 @@ TRAIN_BYTES, DICTIONARY_BYTES = 1 << 20, 32 << 10
 LEVEL = 3
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
+#: Bytes of repeated digests that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES, DIGEST_BYTES = 32 << 20, 64
 DATE = "1970-01-01T00:00:00Z"
+MANIFEST = "archive string, records long, dictionary_bytes long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -73,11 +81,19 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, size: in
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def dictionary_of(records: list[bytes]) -> bytes:
+    """Dictionary of some records: trained by the library, or their own beginnings where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [r[:65_536] for r in records], k=200, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(r[:4_096] for r in records)[-DICTIONARY_BYTES:]
+
+
 class ArchiveWriter:
     """One archive: buffers its first records, builds the dictionary from them and streams the rest."""
 
     def __init__(self, stream):
-        self.stream, self.waiting, self.bytes, self.records = stream, [], 0, 0
+        self.stream, self.waiting, self.bytes, self.records, self.dictionary_bytes = stream, [], 0, 0, 0
         self.press: zstandard.ZstdCompressor | None = None
 
     def add(self, data: bytes) -> None:
@@ -91,15 +107,11 @@ class ArchiveWriter:
             self.start()
 
     def start(self) -> None:
-        dictionary = None
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, [w[:65_536] for w in self.waiting], k=200, d=8)
-        except zstandard.ZstdError:  # too few records to build one from
-            pass
-        if dictionary:
-            content = dictionary.as_bytes()
-            self.stream.write(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
-            dictionary.precompute_compress(level=LEVEL)
+        content = dictionary_of(self.waiting)
+        self.dictionary_bytes = len(content)
+        self.stream.write(struct.pack("<II", DICTIONARY_FRAME, len(content)) + content)
+        dictionary = zstandard.ZstdCompressionDict(content)
+        dictionary.precompute_compress(level=LEVEL)
         self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary)
         for data in self.waiting:
             self.stream.write(self.press.compress(data))
@@ -120,31 +132,47 @@ def _write(folder: str):
                 if writer is None:
                     where.create_dir(path, recursive=True)
                     name = f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.zst"
-                    writer = ArchiveWriter(where.open_output_stream(name))
+                    # The name would make the file system wrap everything in one more frame.
+                    writer = ArchiveWriter(where.open_output_stream(name, compression=None))
                 digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
                 writer.add(record(row["page_id"], row["url"], row["payload"], row["size"], digest, row["first"], row["revisit"]))
                 if writer.bytes >= ARCHIVE_BYTES:
                     writer.close()
-                    done.append((name, writer.records))
+                    done.append((name, writer.records, writer.dictionary_bytes))
                     writer = None
         if writer:
             writer.close()
-            done.append((name, writer.records))
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], ["archive", "records"])
+            done.append((name, writer.records, writer.dictionary_bytes))
+        columns = [pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in MANIFEST.split(", ")])
 
     return write
 
 
-def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES) -> tuple[DataFrame, str]:
-    """Archives of ``pages(page_id, url, html)``: the manifest ``archive, records`` and the folder."""
+def with_first_page(rows: DataFrame, min_bytes: int = MIN_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``page_id, url, payload, size, digest, first, revisit``: revisits have no payload and name the first page with theirs."""
+    long_enough = F.col("size") >= min_bytes
+    repeated = rows.where(long_enough).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = materialise(repeated, "repeated-digests")
+    revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & long_enough, F.lit(False))
+    columns = ["page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit")]
+    if repeated.count() * DIGEST_BYTES <= broadcast_bytes:
+        return rows.join(F.broadcast(repeated), "digest", "left").select(*columns)
+    # Rows of one digest, however many, meet its first page in one partition; AQE splits such a partition, and the rows are slim.
+    slim = rows.drop("payload").join(repeated, "digest", "left").withColumn("payload", F.lit(None).cast("binary")).select(*columns)
+    slim = materialise(slim, "page-kinds")
+    keys = slim.where("NOT revisit").select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
+    responses = rows.join(keys, (F.col("digest") == F.col("own_digest")) & F.col("page_id").eqNullSafe(F.col("own_id")), "left_semi")
+    responses = responses.select("page_id", "url", "payload", "size", "digest", F.lit(None).cast("long").alias("first"), F.lit(False).alias("revisit"))
+    return responses.unionByName(slim.where("revisit"))
+
+
+def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, str]:
+    """Archives of ``pages(page_id, url, html)``: the manifest ``archive, records, dictionary_bytes`` and the folder."""
     folder = shared_dir(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("payload"))
     rows = rows.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & (F.col("size") >= min_bytes)
-    rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", F.when(revisit, F.col("first")).alias("first"), revisit.alias("revisit"))
-    return materialise(rows.mapInArrow(_write(folder), "archive string, records long"), "warc-manifest"), folder
+    return materialise(with_first_page(rows, min_bytes, broadcast_bytes).mapInArrow(_write(folder), MANIFEST), "warc-manifest"), folder
 
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -195,7 +223,7 @@ def _read(folder: str):
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 rows = []
-                with where.open_input_stream(archive) as stream:
+                with where.open_input_stream(archive, compression=None) as stream:
                     for headers, block in read_records(stream):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         kind, digest = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
