@@ -409,3 +409,53 @@ def test_files_that_spark_wrote_hold_one_frame_a_record(spark, monkeypatch, coun
     got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(manifest, folder).collect())
     want = Counter((i, "response", None) if i == 0 or i % 3 else (i, "revisit", 0) for i in [*html, 0, 1])
     assert got == want and payloads == sum(n for (_, kind, _), n in want.items() if kind == "response")
+
+
+def test_windows_cover_texts_without_spaces():
+    """Tabs, line ends and scripts without spaces: windows cover the text, stay short and never split a character."""
+    rng = random.Random(13)
+    for text in ["", "a", "x" * 9_000, "word\tnext\n" * 500, "日本語" * 2_000, "é" * 5_000, "".join(rng.choice("ab é日\n") for _ in range(4_000))]:
+        data = toxicity.prepare(text.encode())
+        starts, lengths = toxicity.windows(data, toxicity.WINDOW)
+        assert (starts[1:] == (starts + lengths)[:-1]).all() and lengths.sum() == len(data)
+        assert lengths.max() <= 3 * toxicity.WINDOW
+        for a, n in zip(starts, lengths, strict=True):
+            data[a : a + n].decode()
+
+
+def toxic_sample(rng, n, joint=" "):
+    stems, bad = ["tion", "ing", "er", "wh", "and", "sti", "re", "ou"], ["pathetic", "worthless", "disgusting", "moronic"]
+    rows = []
+    for i in range(n):
+        w = ["".join(rng.choices(stems, k=rng.randrange(1, 4))) for _ in range(80)]
+        if i % 4 == 0:
+            w[::8] = [rng.choice(bad) for _ in w[::8]]
+        rows.append((int(i % 4 == 0), joint.join(w).encode()))
+    return rows
+
+
+def test_either_dictionary_holds_its_class():
+    rows = toxic_sample(random.Random(14), 400)
+    model = toxicity.fit(rows)
+    both = model.dictionaries
+    assert all(w in both.toxic and w not in both.ordinary for w in (b"pathetic", b"worthless", b"moronic"))
+    assert both.toxic.endswith(both.ordinary) and b"tion" in both.ordinary
+    assert toxicity.fit([r for r in rows if r[0]]) is None and toxicity.fit([]) is None
+    assert toxicity.fit(rows[::-1]) is not None
+
+
+def test_toxic_words_far_into_a_text_without_spaces_are_seen():
+    model = toxicity.fit(toxic_sample(random.Random(15), 400))
+    clean = "\n".join(t.decode() for label, t in toxic_sample(random.Random(16), 200) if not label).replace(" ", "\n")
+    assert len(clean) > 30_000
+    late = clean + "\n" + "\n".join(["pathetic", "moronic", "worthless"] * 300)
+    a, b = toxicity.score_texts(model, [clean.encode(), late.encode()], model.dictionaries.compressors())
+    assert a < 0.5 < b
+
+
+def test_toxicity_of_empty_tables_and_repeated_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity_scores(empty(spark), labels).isEmpty() and toxicity.drop_toxic(empty(spark), labels).isEmpty()
+    docs = documents(spark, ["some words here"] * 3)
+    rows = toxicity.toxicity_scores(docs.unionByName(docs), labels.where("doc_id < 0")).collect()
+    assert len(rows) == 6 and {r.score for r in rows} == {0.0}
