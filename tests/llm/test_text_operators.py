@@ -459,3 +459,28 @@ def test_toxicity_of_empty_tables_and_repeated_rows(spark):
     docs = documents(spark, ["some words here"] * 3)
     rows = toxicity.toxicity_scores(docs.unionByName(docs), labels.where("doc_id < 0")).collect()
     assert len(rows) == 6 and {r.score for r in rows} == {0.0}
+
+
+def test_benchmark_of_string_ids_empty_benchmark_and_repeats(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([("b", text), ("b", text), (None, text.upper()), ("c", "nothing here")], "doc_id string, text string")
+    bench = spark.createDataFrame([("x-10", text), ("x-9", text), ("x-9", text)], "item_id string, text string")
+    for size in (1 << 20, 60):
+        rows = decontamination.contamination_report(decontamination.find_benchmark(docs, bench, group_bytes=size)).collect()
+        want = hashlib.sha256(b"x-10,x-9").hexdigest()
+        assert sorted((r.doc_id or "", r.n_hit, r.n_items) for r in rows) == [("", 11, 2), ("b", 11, 2), ("b", 11, 2), ("c", 0, 0)]
+        assert {r.items_sha256 for r in rows if r.n_items} == {want}
+        assert [r.doc_id for r in decontamination.drop_contaminated(docs, bench, group_bytes=size).collect()] == ["c"]
+    none = decontamination.contamination_report(decontamination.find_benchmark(docs, bench.limit(0))).collect()
+    assert len(none) == 4 and not any(r.contaminated for r in none)
+
+
+def test_language_sample_is_bounded(spark):
+    """Many rows of one id and many languages bring no more rows than the parameters say; extra columns, empty tables."""
+    rows = [(7, f"text {i}", "aa") for i in range(500)] + [(i, "some words", f"l{i:03d}") for i in range(60)] + [(i, "more words", "aa") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("place", F.lit("clash")).withColumn("n", F.lit(1))
+    got = Counter(lang for lang, _ in language_id.sample(docs, 20, max_languages=10))
+    assert got["aa"] == 20 and len(got) == 10
+    assert language_id.sample(docs.limit(0), 20) == [] and language_id.identify_languages(docs.limit(0)).isEmpty()
+    long = spark.createDataFrame([(1, "thing " * 200_000, "aa"), (1, "thing " * 200_000, "aa")], "doc_id long, text string, lang string")
+    assert [r.held_out for r in language_id.identify_languages(long).collect()] == [zlib.crc32(b"1") % 5 == 0] * 2

@@ -17,19 +17,20 @@ table has besides ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remembered, slices, utf8
+from .common import materialise, remembered, slices, utf8
 
 #: Consecutive words of a window.
 WINDOW_WORDS = 10
-#: Bytes of benchmark text in one broadcast group.
-GROUP_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast group; its windows take some hundred times as much in a worker.
+GROUP_BYTES = 2 << 20
 #: Words of two symbols form a block of the shift table.
 BLOCK = 2
 
@@ -44,7 +45,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WuManber:
     """Finds all occurrences of equally long patterns of word numbers (0: a word that no pattern has)."""
 
-    def __init__(self, patterns: dict[tuple[int, ...], set[int]]):
+    def __init__(self, patterns: dict[tuple[int, ...], set[str]]):
         self.size = len(next(iter(patterns)))
         self.block = min(BLOCK, self.size)
         self.default = self.size - self.block + 1
@@ -56,7 +57,7 @@ class WuManber:
                 self.shift[key] = min(self.shift.get(key, self.default), self.size - end)
             self.bucket.setdefault(pattern[self.size - self.block :] if self.block > 1 else pattern[-1], []).append((pattern, owners))
 
-    def search(self, text: list[int]) -> Iterator[tuple[int, set[int]]]:
+    def search(self, text: list[int]) -> Iterator[tuple[int, set[str]]]:
         """Start of each occurrence, with the owners of the pattern."""
         at, size, default, shift = self.size - 1, self.size, self.default, self.shift.get
         if self.block == 1:
@@ -81,9 +82,9 @@ class WuManber:
             at += 1
 
 
-def build(items: list[tuple[int, bytes]], window: int) -> tuple[dict[bytes, int], list[WuManber]]:
+def build(items: list[tuple[str, bytes]], window: int) -> tuple[dict[bytes, int], list[WuManber]]:
     vocabulary: dict[bytes, int] = {}
-    by_size: dict[int, dict[tuple[int, ...], set[int]]] = {}
+    by_size: dict[int, dict[tuple[int, ...], set[str]]] = {}
     for item, text in items:
         numbers = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
         size = min(window, len(numbers))
@@ -105,10 +106,29 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(group, window: int):
+Search = Callable[[], tuple[dict[bytes, int], list[WuManber]]]
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, group_bytes: int, scan: Callable, schema) -> DataFrame:
+    """``docs`` mapped by ``scan(search)`` for every group of the benchmark."""
+    context, out, before = docs.sparkSession.sparkContext, docs, None
+    for group in benchmark_groups(benchmark, group_bytes):
+        if before:
+            out = materialise(out, "benchmark-pass")
+            before.unpersist()
+        before, key = context.broadcast(group), uuid.uuid4().hex
+
+        def search(group=before, key=key):
+            # A worker builds a group once and forgets it when another one, or another operator, comes.
+            return remembered(("benchmark", key), lambda: build(group.value, window))
+
+        out = out.mapInArrow(scan(search), schema)
+    return out
+
+
+def _scan(search: Search):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered("benchmark", dict)  # keeps nothing, gives back what others kept
-        vocabulary, automata = build(group.value, window)
+        vocabulary, automata = search()
         number = vocabulary.get
         for batch, texts in slices(batches, "utf8"):
             n_words, spans, items = [], [], []
@@ -125,70 +145,59 @@ def _scan(group, window: int):
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in _merge(found)])
                 items.append(sorted(owners))
-            columns = {"doc_id": batch.column("doc_id"), "utf8": batch.column("utf8"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.int64()))}
+            columns = {"doc_id": batch.column("doc_id"), "utf8": batch.column("utf8"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return scan
 
 
-def benchmark_groups(benchmark: DataFrame, group_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """Items in groups of at most ``group_bytes``, fetched one group after the other in order of id.
+def _clean(search: Search):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, automata = search()
+        number = vocabulary.get
+        for batch, texts in slices(batches, "text"):
+            keep = []
+            for text in texts:
+                numbers = [number(w, 0) for w in words_of(text)]
+                keep.append(not any(numbers) or not any(True for a in automata for _ in a.search(numbers)))
+            yield batch.filter(pa.array(keep))
+
+    return clean
 
-    The benchmark is streamed partition by partition; a test set is small against
-    the corpus, but nothing here relies on its size.
-    """
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), utf8()).orderBy(F.col("item_id").cast("long"))
-    groups, size = [[]], 0
+
+def benchmark_groups(benchmark: DataFrame, group_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in order of id in groups of about ``group_bytes``, one after the other; one empty group of an empty benchmark."""
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), utf8().alias("utf8")).orderBy("item", "utf8")
+    group, size, any_yet = [], 0, False
     for item, text in rows.toLocalIterator():
-        if groups[-1] and size + len(text) > group_bytes:
-            groups.append([])
-            size = 0
-        groups[-1].append((item, bytes(text)))
+        if group and size + len(text) > group_bytes:
+            yield group
+            group, size, any_yet = [], 0, True
+        group.append((item, bytes(text)))
         size += len(text)
-    return groups
+    if group or not any_yet:
+        yield group
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for ``docs(doc_id, text)``: hit word ranges [start, end) and the items found."""
-    schema = "doc_id long, utf8 binary, n_words long, spans array<struct<start: long, end: long>>, items array<long>"
-    out = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.array().cast("array<long>").alias("items"),
+    """``doc_id, n_words, spans, items`` for ``docs(doc_id, text)``: hit word ranges [start, end) and the items found, as strings."""
+    rows = docs.select(
+        "doc_id", utf8().alias("utf8"), F.lit(0).cast("long").alias("n_words"),
+        F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
     )
-    context = docs.sparkSession.sparkContext
-    for group in benchmark_groups(benchmark, group_bytes):
-        out = out.mapInArrow(_scan(context.broadcast(group), window), schema)
-    return out.drop("utf8")
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, utf8 binary, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+    return _searched(rows, benchmark, window, group_bytes, _scan, schema).drop("utf8")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The documents of ``docs`` without any window of the benchmark, with all their columns."""
-
-    def keep(group):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            remembered("benchmark", dict)  # keeps nothing, gives back what others kept
-            vocabulary, automata = build(group.value, window)
-            number = vocabulary.get
-            for batch, texts in slices(batches, "text"):
-                clean = []
-                for text in texts:
-                    numbers = [number(w, 0) for w in words_of(text)]
-                    clean.append(not any(numbers) or not any(True for a in automata for _ in a.search(numbers)))
-                yield batch.filter(pa.array(clean))
-
-        return run
-
-    context, out = docs.sparkSession.sparkContext, docs
-    for group in benchmark_groups(benchmark, group_bytes):
-        out = out.mapInArrow(keep(context.broadcast(group)), docs.schema)
-    return out
+    return _searched(docs, benchmark, window, group_bytes, _clean, docs.schema)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
     """Digest columns of :func:`find_benchmark`."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"),
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )

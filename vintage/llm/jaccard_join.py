@@ -43,7 +43,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, remembered, slices, utf8
@@ -58,8 +58,10 @@ HEAVY = 64
 BUCKET_ENTRIES = 700_000
 #: Words whose hashes a worker remembers before it starts afresh; affects speed only.
 REMEMBERED = 150_000
-#: Sets of a block of the prefix tree.
-BLOCK_SETS = 2_000
+#: Sets, and bytes of sets, of a block of the prefix tree.
+BLOCK_SETS, BLOCK_BYTES = 2_000, 64 << 20
+#: Bytes of sets of small candidate groups that share a task.
+TASK_BYTES = 8 << 20
 #: Members of each component that meet first when blocks are merged.
 DELEGATES = 4
 #: Rounds in which delegates meet before the exhaustive step.
@@ -463,16 +465,19 @@ def _run_trees(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
 
 def _link_groups(sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root``: within every candidate group ``part``, the smallest class that links connect a class with; classes that are their own root may be left out."""
-    sizes = sets.groupBy("part").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("long")
-    sets = sets.join(sizes, "part").withColumn("blocks", blocks)
-    sets = sets.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), F.col("blocks"))).otherwise(F.lit(-1)))
+    def blocks_of(size: Column, volume: Column) -> Column:
+        return F.ceil(F.greatest(size / BLOCK_SETS, volume / BLOCK_BYTES)).cast("long")
+
+    count, volume = F.count("*"), F.sum(F.length("grams"))
+    sizes = sets.groupBy("part").agg(blocks_of(count, volume).alias("blocks"))
+    tasks = max(64, (sets.agg(volume).first()[0] or 0) // TASK_BYTES)
+    sets = sets.join(sizes, "part").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cls"), F.col("blocks"))).otherwise(F.lit(-1)))
     # Small groups share tasks; a block of a large group is a task. A class lies in one of them, so the links are labels already.
-    task = F.when(F.col("blocks") > 1, F.xxhash64("part", "block")).otherwise(F.pmod(F.xxhash64("part"), F.lit(4096)))
+    task = F.when(F.col("blocks") > 1, F.xxhash64("part", "block")).otherwise(F.pmod(F.xxhash64("part"), F.lit(tasks)))
     labels = materialise(_run_trees(sets.withColumn("label", F.col("cls")).withColumn("task", task), percent, "task", "blocks").toDF("cls", "root"), "labels")
-    if sizes.where(F.col("size") > BLOCK_SETS).isEmpty():
+    if sizes.where("blocks > 1").isEmpty():
         return labels
-    big = sets.where("blocks > 1").join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root", "size")
+    big = sets.where("blocks > 1").join(labels, "cls", "left").withColumn("label", F.coalesce("root", "cls")).drop("root")
     big = materialise(big, "large-groups")
 
     def merge(found: DataFrame) -> None:
@@ -496,7 +501,7 @@ def _link_groups(sets: DataFrame, percent: int) -> DataFrame:
     components = big.groupBy("part", "label").agg(F.count("*").alias("m"))
     largest = components.groupBy("part").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("part", "main")
     rest = materialise(big.join(largest, "part").where("label <> main").drop("main"), "rest")
-    chunks = rest.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("long").alias("chunks"))
+    chunks = rest.groupBy("part").agg(blocks_of(count, volume).alias("chunks"))
     home = big.join(chunks, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     away = rest.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("chunks")))
     away = away.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

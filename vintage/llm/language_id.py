@@ -34,6 +34,8 @@ from .common import Numbering, held_out, remembered, slices, utf8
 ORDER = 5
 #: Documents per language in the training sample, at most (those of the lowest id hash).
 SAMPLE_DOCS = 800
+#: Languages that have models, at most: those with the most training rows.
+MAX_LANGUAGES = 400
 #: Longest text in the sample, in bytes.
 SAMPLE_BYTES = 16_384
 #: Every so many sample documents calibrate instead of train.
@@ -254,13 +256,20 @@ class Identifier:
         return -total / np.maximum(size, 1)[:, None], size
 
 
-def sample(docs: DataFrame, per_language: int) -> list[tuple[str, bytes]]:
-    usable = docs.where(~held_out()).where("lang IS NOT NULL").select("doc_id", "lang", utf8().alias("utf8"))
+def sample(docs: DataFrame, per_language: int, max_languages: int = MAX_LANGUAGES) -> list[tuple[str, bytes]]:
+    """``(lang, text)`` of training rows, at most ``per_language`` of each of the ``max_languages`` most frequent languages.
+
+    Rows are taken by the hash of id and text. Counts of the languages give a
+    threshold of the hash that few more rows than needed pass, so that no language
+    is ranked as a whole.
+    """
+    usable = docs.where(~held_out()).where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("place"), utf8().alias("utf8"))
     usable = usable.where((F.length("utf8") > 0) & (F.length("utf8") <= SAMPLE_BYTES))
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("place") <= per_language)
-    rows = usable.join(F.broadcast(first.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
-    return [(r.lang, bytes(r.utf8)) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "utf8").select("lang", "utf8").toLocalIterator()]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    share = F.col("place").cast("double") / 2.0**64 + 0.5
+    rows = usable.join(F.broadcast(counts), "lang").where(share <= 4 * per_language / F.col("n"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "utf8"))).where(F.col("rank") <= per_language)
+    return [(r.lang, bytes(r.utf8)) for r in rows.orderBy("place", "utf8").select("lang", "utf8").toLocalIterator()]
 
 
 def _identify(broadcast):
