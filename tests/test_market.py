@@ -36,7 +36,7 @@ def test_true_range_has_no_first_value(spark):
 
 def test_rsi_matches_a_plain_loop(spark):
     closes = [100 + 7 * math.sin(i) + i * 0.3 for i in range(60)]
-    x = bars(spark, closes).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("r", w.wilder_rsi()).orderBy("trading_date")
+    x = w.wilder_rsi(bars(spark, closes)).withColumnRenamed("rsi", "r").orderBy("trading_date")
     deltas = [b - a for a, b in zip(closes, closes[1:], strict=False)]
     gain, loss = sum(max(d, 0) for d in deltas[:14]) / 14, sum(max(-d, 0) for d in deltas[:14]) / 14
     for d in deltas[14:]:
@@ -47,7 +47,7 @@ def test_rsi_matches_a_plain_loop(spark):
 
 def test_flat_prices_have_neutral_rsi_and_rising_ones_the_highest(spark):
     def last(closes):
-        x = bars(spark, closes).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("r", w.wilder_rsi()).orderBy("trading_date")
+        x = w.wilder_rsi(bars(spark, closes)).withColumnRenamed("rsi", "r").orderBy("trading_date")
         return one(x, "r")[-1]
 
     assert last([5] * 30) == 50.0 and last(range(1, 31)) == 100.0

@@ -106,6 +106,51 @@ def materiality(kind: Column, text: Column, value: Column, revenue: Column) -> C
     return clamp(weight * size * direction(text, weight), -100.0, 100.0)
 
 
+# Classes of filings by ordered keywords, and words of the event parser, with their weights.
+FILING_CLASSES = (
+    ("EARNINGS_RESULT", "HIGH", ("FINANCIAL RESULT", "UNAUDITED FINANCIAL", "AUDITED FINANCIAL", "EARNINGS", "Q1", "Q2", "Q3", "Q4")),
+    ("CAPACITY_EXPANSION", "HIGH", ("CAPEX", "EXPANSION", "NEW PLANT", "COMMISSIONING", "COMMENCEMENT")),
+    ("ORDER_WIN", "HIGH", ("ORDER", "CONTRACT", "AGREEMENT", "AWARD OF WORK", "LOA")),
+    ("MANAGEMENT_CHANGE", "MEDIUM", ("RESIGNATION", "APPOINTMENT", "CHIEF EXECUTIVE OFFICER", "MANAGING DIRECTOR", "CFO")),
+    ("CORPORATE_ACTION", "MEDIUM", ("DIVIDEND", "BONUS", "SPLIT", "SUB-DIVISION", "BUYBACK", "RIGHTS ISSUE")),
+    ("REGULATORY_ACTION", "HIGH", ("REGULATORY", "SEBI", "FDA", "SHOW CAUSE", "PENALTY", "INVESTIGATION")),
+    ("ESOP_ALLOTMENT", "LOW", ("ESOP", "ALLOTMENT OF SHARES")),
+)
+EVENT_WORDS = (
+    ("ORDER_WIN", 0.75, ("bagged order", "order worth", "received order", "awarded contract")),
+    ("CAPEX", 0.80, ("capacity expansion", "new plant", "capex", "investment of")),
+    ("MANAGEMENT_CHANGE", 0.70, ("resignation of ceo", "appointment of ceo", "cfo resigns")),
+)
+ORDER_SIZE = r"(?:rs\.?|inr|worth)\s*(\d+(?:,\d+)*(?:\.\d+)?)\s*(?:cr|crore)"
+
+
+def _first_class(text: Column, classes: tuple, value: int, otherwise) -> Column:
+    out = F
+    for row in classes:
+        out = out.when(F.size(F.filter(F.array(*(F.lit(w) for w in row[2])), lambda w: F.contains(text, w))) > 0, row[value])
+    return out.otherwise(otherwise)
+
+
+def filing_class(text: Column) -> tuple[Column, Column]:
+    """Class and weight of a filing: the first class of which the text has a keyword."""
+    upper = F.upper(text)
+    return _first_class(upper, FILING_CLASSES, 0, "GENERAL_CORPORATE_DISCLOSURE"), _first_class(upper, FILING_CLASSES, 1, "LOW")
+
+
+def event_of(text: Column) -> tuple[Column, Column, Column]:
+    """Event, materiality and, of an order, its size in rupees."""
+    lower = F.lower(text)
+    kind = _first_class(lower, EVENT_WORDS, 0, "OTHER")
+    size = F.regexp_replace(F.regexp_extract(lower, ORDER_SIZE, 1), ",", "")
+    return kind, _first_class(lower, EVENT_WORDS, 1, 0.5), F.when((kind == "ORDER_WIN") & (size != ""), size.try_cast("double") * 10_000_000)
+
+
+def macro_regime(vix: Column, crude: Column) -> Column:
+    """Regime from volatility and the oil price; unknown where both feeds are missing."""
+    calm = (vix < 14) & (crude.isNull() | (crude < 85))
+    return F.when(vix.isNull() & crude.isNull(), "DATA_OFFLINE_UNKNOWN").when(calm, "BULLISH_EXPANSION").when(F.coalesce(vix > 18, F.lit(False)) | F.coalesce(crude > 95, F.lit(False)), "RISK_OFF_CORRECTION").otherwise("NEUTRAL_CONSOLIDATION")
+
+
 def decay(score: Column, hours: Column, structural: Column) -> Column:
     half = F.when(structural, STRUCTURAL_HOURS).otherwise(TACTICAL_HOURS)
     return score * F.exp(-F.log(F.lit(2.0)) / half * F.greatest(hours, F.lit(0.0)))

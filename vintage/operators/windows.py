@@ -47,32 +47,40 @@ def atr(k: int, true_range: str = "true_range") -> Column:
     return F.avg(true_range).over(last_bars(k))
 
 
-def wilder_rsi(period: int = 14, days: int = 400) -> Column:
-    """Relative strength with Wilder's smoothing, begun anew at the first bar of a slice of calendar days.
+#: Sessions of a block: powers of the smoothing stay within a double's range over two blocks.
+BLOCK = 4_096
 
-    The recursion is a fold over the slice's changes: the mean of the first
-    ``period`` gains and losses, then smoothing. Needs a column ``day`` that
-    numbers calendar days and ``change`` with the change of the close.
+
+def wilder_rsi(bars: DataFrame, period: int = 14, days: int = 400) -> DataFrame:
+    """``bars`` with ``rsi``: relative strength with Wilder's smoothing, begun anew at the first bar of a slice of calendar days.
+
+    Smoothing is linear: a change k bars back counts with the k-th power of 13/14,
+    the first 14 changes of the slice with their mean instead. Sums weighted by
+    powers of the bar's number give the former, so that no bar lists its slice.
+    Numbers begin anew in every block; a slice meets two blocks at most, of which
+    one is even and one is odd, and their sums are kept apart.
     """
-    slice_ = Window.partitionBy("company_id").orderBy("day").rangeBetween(-days, 0)
-    changes = F.slice(F.collect_list("close").over(slice_), 1, 100000)
-    n = F.size(changes)
-    deltas = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.element_at(changes, i) - F.element_at(changes, i - 1))
-
-    def mean_of(sign: int) -> Column:
-        first = F.slice(deltas, 1, period)
-        return F.aggregate(first, F.lit(0.0), lambda a, x: a + F.greatest(x * sign, F.lit(0.0))) / period
-
-    start = F.struct(mean_of(1).alias("g"), mean_of(-1).alias("l"))
-    rest = F.slice(deltas, period + 1, 100000)
-    smooth = F.aggregate(
-        rest, start,
-        lambda s, x: F.struct(
-            ((s["g"] * (period - 1) + F.greatest(x, F.lit(0.0))) / period).alias("g"), ((s["l"] * (period - 1) + F.greatest(-x, F.lit(0.0))) / period).alias("l")
-        ),
-        lambda s: F.when(s["l"] == 0, F.when(s["g"] == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + s["g"] / s["l"])),
-    )
-    return F.when(n < period + 1, F.lit(50.0)).otherwise(smooth)
+    keep = (period - 1) / period
+    slice_, ahead = Window.partitionBy("company_id").orderBy("_day").rangeBetween(-days, 0), sessions().rowsBetween(1, period)
+    change = F.col("close") - F.lag("close").over(sessions())
+    x = bars.withColumns({"_change": F.coalesce(change, F.lit(0.0)), "_i": F.row_number().over(sessions()) - 1, "_day": F.datediff("trading_date", F.lit("1990-01-01"))})
+    x = x.withColumns({"_e": F.col("_i") % BLOCK, "_odd": F.floor(F.col("_i") / BLOCK) % 2 == 1, "_gain": F.greatest("_change", F.lit(0.0)), "_loss": F.greatest(-F.col("_change"), F.lit(0.0))})
+    sums = [(name, side) for name in ("gain", "loss") for side in (0, 1)]
+    weighted = {f"_{n}{s}": F.when(F.col("_odd") == F.lit(bool(s)), F.col(f"_{n}") * F.pow(F.lit(1 / keep), F.col("_e"))).otherwise(0.0) for n, s in sums}
+    x = x.withColumns(weighted)
+    x = x.withColumns({f"_ahead_{n}{s}": F.coalesce(F.sum(f"_{n}{s}").over(ahead), F.lit(0.0)) for n, s in sums} | {f"_seed_{n}": F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0.0)) for n in ("gain", "loss")})
+    # Of the slice's sum, the first bar's change lies before the slice, and the seed counts otherwise.
+    tails = {f"_tail_{n}{s}": F.sum(f"_{n}{s}").over(slice_) - F.first(f"_{n}{s}").over(slice_) - F.first(f"_ahead_{n}{s}").over(slice_) for n, s in sums}
+    x = x.withColumns(tails | {f"_first_{n}": F.first(f"_seed_{n}").over(slice_) for n in ("gain", "loss")} | {"_n": F.count("*").over(slice_) - 1})
+
+    def smoothed(name: str) -> Column:
+        own, other = (F.when(F.col("_odd") == F.lit(odd), F.col(f"_tail_{name}1")).otherwise(F.col(f"_tail_{name}0")) for odd in (True, False))
+        late = own * F.pow(F.lit(keep), F.col("_e")) + other * F.pow(F.lit(keep), F.col("_e") + BLOCK)
+        return (late + F.col(f"_first_{name}") * F.pow(F.lit(keep), F.col("_n") - period)) / period
+
+    x = x.withColumns({"_up": smoothed("gain"), "_down": smoothed("loss")})
+    rsi = F.when(F.col("_n") < period, 50.0).when(F.col("_down") == 0, F.when(F.col("_up") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.col("_up") / F.col("_down")))
+    return x.select(*bars.columns, rsi.alias("rsi"))
 
 
 def year_high() -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import paths
 from ..operators import windows as w
 from ..sources import adapters as a
-from .registry import query
+from .registry import SQL, query
 from .views import ACTIONS, BARS, DELIVERY, FILINGS, MARKET, W, over
 
 KEY = ("company_id", "trading_date")
@@ -38,36 +38,19 @@ def atr(spark, sf_dir):
     return rounded(out.withColumn("atr_pct", F.col("atr14") / F.col("close") * 100), "atr14", "atr_pct")
 
 
-@query("W3_wilder_rsi", f"""WITH RECURSIVE {BARS}, numbered AS (
-  SELECT company_id, trading_date, close, date_diff('day', DATE '1990-01-01', trading_date) AS day, row_number() OVER ({W}) AS n FROM bars),
-ends AS (SELECT company_id, trading_date, day, n, min(n) OVER (PARTITION BY company_id ORDER BY day RANGE BETWEEN 400 PRECEDING AND CURRENT ROW) AS first_n
-  FROM numbered), picked AS (SELECT * FROM ends WHERE n % 97 = 0 OR n <= 20),
-seed AS (SELECT p.company_id, p.trading_date, p.n, p.first_n, count(*) AS bars,
-    avg(greatest(b.close - c.close, 0)) AS g, avg(greatest(c.close - b.close, 0)) AS l
-  FROM picked p JOIN numbered b ON b.company_id = p.company_id AND b.n BETWEEN p.first_n + 1 AND least(p.first_n + 14, p.n)
-  JOIN numbered c ON c.company_id = b.company_id AND c.n = b.n - 1 GROUP BY ALL),
-walk AS (SELECT company_id, trading_date, n, first_n, bars, first_n + 14 AS at, g, l FROM seed
-  UNION ALL SELECT k.company_id, k.trading_date, k.n, k.first_n, k.bars, k.at + 1, (k.g * 13 + greatest(b.close - c.close, 0)) / 14,
-    (k.l * 13 + greatest(c.close - b.close, 0)) / 14
-  FROM walk k JOIN numbered b ON b.company_id = k.company_id AND b.n = k.at + 1 JOIN numbered c ON c.company_id = b.company_id AND c.n = b.n - 1
-  WHERE k.at < k.n)
-SELECT p.company_id, p.trading_date, round(CASE WHEN coalesce(k.bars, 0) < 14 THEN 50.0 WHEN k.l = 0 THEN CASE WHEN k.g = 0 THEN 50.0 ELSE 100.0 END
-  ELSE 100 - 100 / (1 + k.g / k.l) END, 4) AS rsi14
-FROM picked p LEFT JOIN walk k ON k.company_id = p.company_id AND k.trading_date = p.trading_date AND k.at = greatest(p.n, p.first_n + 14)""")
-def wilder_rsi(spark, sf_dir):
-    """The bars that the recursive SQL can reach: every 97th session of a company and its first twenty. ``W3_wilder_rsi_all`` has every bar."""
-    return rounded(_rsi(spark, sf_dir).where("n % 97 = 0 OR n <= 20"), "rsi14")
-
+#: Smoothing is linear: the seed and every later change of the slice count with a power of 13/14.
+RSI = f"""WITH {BARS}, k AS (SELECT p.company_id, p.trading_date, b.close - lag(b.close) OVER o AS change, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY p.company_id, p.trading_date) - 1 AS n
+  FROM bars p JOIN bars b ON b.company_id = p.company_id AND b.trading_date BETWEEN p.trading_date - 400 AND p.trading_date WINDOW o AS (PARTITION BY p.company_id, p.trading_date ORDER BY b.trading_date)),
+ g AS (SELECT company_id, trading_date, max(n) AS n, coalesce(sum(f * greatest(change, 0)), 0) AS gain, coalesce(sum(f * greatest(-change, 0)), 0) AS loss
+  FROM (SELECT *, CASE WHEN i = 0 THEN NULL WHEN i <= 14 THEN power(13.0 / 14, greatest(n - 14, 0)) / 14 ELSE power(13.0 / 14, n - i) / 14 END AS f FROM k) GROUP BY 1, 2)
+SELECT company_id, trading_date, round(CASE WHEN n < 14 THEN 50.0 WHEN loss = 0 THEN CASE WHEN gain = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + gain / loss) END, 4) AS rsi14 FROM g"""
 
-@query("W3_wilder_rsi_all")
-def wilder_rsi_all(spark, sf_dir):
-    """Every bar of every company; no SQL, as a recursion from each bar is too slow there. A test holds it against a plain loop."""
-    return rounded(_rsi(spark, sf_dir), "rsi14")
 
-
-def _rsi(spark, sf_dir):
-    bars = a.bars(spark, sf_dir).withColumn("day", F.datediff("trading_date", F.lit("1990-01-01"))).withColumn("n", F.row_number().over(w.sessions()))
-    return bars.withColumn("rsi14", w.wilder_rsi())
+@query("W3_wilder_rsi_all", RSI)
+@query("W3_wilder_rsi", RSI)
+def wilder_rsi(spark, sf_dir):
+    """Every bar of every company."""
+    return rounded(w.wilder_rsi(a.bars(spark, sf_dir)).withColumnRenamed("rsi", "rsi14"), "rsi14")
 
 
 @query("W4_year_range", f"""WITH {BARS} SELECT company_id, trading_date, round(max(high) OVER {over(252)}, 6) AS high_252, round(min(low) OVER {over(252)}, 6) AS low_252,
@@ -121,27 +104,21 @@ def contraction(spark, sf_dir):
     return x.select(*KEY, F.round("squeeze", 4).alias("squeeze"), F.round("dry_up", 4).alias("dry_up"), "contracted")
 
 
-@query("W9_atr_contraction", f"""WITH {BARS}, {TR}, ratios AS (SELECT *, avg(true_range) OVER {over(10)} / nullif(avg(true_range) OVER {over(30)}, 0) AS ratio FROM ranged),
-  sampled AS (SELECT * FROM ratios WHERE n % 60 = 0)
-SELECT s.company_id, s.trading_date, round(s.ratio, 4) AS ratio, round(count(*) FILTER (h.ratio <= round(s.ratio, 2)) * 100.0 / count(*), 1) AS percentile
-FROM sampled s JOIN ratios h ON h.company_id = s.company_id AND h.n >= 30 AND h.n < s.n AND h.n % 3 = 0 GROUP BY ALL""")
-def atr_contraction(spark, sf_dir):
-    """Percentile of the contraction among earlier samples (every third bar from bar 30), for every 60th bar of a company. ``W9_atr_contraction_all`` has every bar."""
-    return _contraction(spark, sf_dir, "n % 60 = 0")
-
-
 @query("W9_atr_contraction_all", f"""WITH {BARS}, {TR}, ratios AS (SELECT *, avg(true_range) OVER {over(10)} / nullif(avg(true_range) OVER {over(30)}, 0) AS ratio FROM ranged)
-SELECT s.company_id, s.trading_date, round(s.ratio, 4) AS ratio, CASE WHEN s.n < 45 OR count(h.ratio) = 0 THEN 50.0 ELSE round(count(*) FILTER (h.ratio <= round(s.ratio, 2)) * 100.0 / count(h.ratio), 1) END AS percentile
+SELECT s.company_id, s.trading_date, round(s.ratio, 4) AS ratio, CASE WHEN s.n < 45 OR count(h.ratio) = 0 THEN 50.0 ELSE round(count(*) FILTER (h.ratio <= round(s.ratio, 2)) * 100.0 / count(h.ratio), 9) END AS percentile
 FROM ratios s LEFT JOIN ratios h ON h.company_id = s.company_id AND h.n >= 30 AND h.n < s.n AND h.n % 3 = 0 GROUP BY s.company_id, s.trading_date, s.n, s.ratio""")
 def atr_contraction_all(spark, sf_dir):
     """Every bar of every company; 50 for the first 44."""
-    return _contraction(spark, sf_dir, "true")
+    return _contraction(spark, sf_dir)
+
 
+query("W9_atr_contraction", SQL["W9_atr_contraction_all"])(atr_contraction_all)
 
-def _contraction(spark, sf_dir, reported: str):
+
+def _contraction(spark, sf_dir):
     x = w.indicators(a.bars(spark, sf_dir)).withColumn("ratio", F.col("atr10") / F.when(F.col("atr30") != 0, F.col("atr30")))
-    x = paths.contraction_percentile(x).where(reported)
-    return x.select(*KEY, F.round("ratio", 4).alias("ratio"), F.round("percentile", 1).alias("percentile"))
+    x = paths.contraction_percentile(x)
+    return x.select(*KEY, F.round("ratio", 4).alias("ratio"), F.round("percentile", 9).alias("percentile"))
 
 
 @query("W10_accumulation", f"""WITH {BARS}, m AS (SELECT *, lag(close) OVER ({W}) AS pc, avg(volume) OVER {over(40)} AS v40, row_number() OVER ({W}) AS n FROM bars)
@@ -274,20 +251,14 @@ def wick_trap(spark, sf_dir):
     return x.select(*KEY, "trapped", F.round("wick", 4).alias("wick"))
 
 
-@query("W35_percentile", f"""WITH {BARS} SELECT a.company_id, a.trading_date, round(count(*) FILTER (b.close < a.close) * 1.0 / greatest(count(*) - 1, 1), 6) AS percentile
-FROM bars a JOIN bars b ON a.company_id = b.company_id AND b.trading_date BETWEEN a.trading_date - 1095 AND a.trading_date
-WHERE day(a.trading_date) = 15 GROUP BY a.company_id, a.trading_date""")
-def percentile(spark, sf_dir):
-    """Rank of the close within its last three years, for sessions on the 15th. ``W35_percentile_all`` has every session."""
-    bars = a.bars(spark, sf_dir)
-    return paths.trailing_percentile(bars, F.dayofmonth("trading_date") == 15, 1095).select(*KEY, F.round("percentile", 6).alias("percentile"))
-
-
-@query("W35_percentile_all", f"""WITH {BARS} SELECT a.company_id, a.trading_date, round(count(*) FILTER (b.close < a.close) * 1.0 / greatest(count(*) - 1, 1), 6) AS percentile
+@query("W35_percentile_all", f"""WITH {BARS} SELECT a.company_id, a.trading_date, round(count(*) FILTER (b.close < a.close) * 1.0 / greatest(count(*) - 1, 1), 9) AS percentile
 FROM bars a JOIN bars b ON a.company_id = b.company_id AND b.trading_date BETWEEN a.trading_date - 1095 AND a.trading_date GROUP BY a.company_id, a.trading_date""")
 def percentile_all(spark, sf_dir):
     """Every session of every company."""
-    return paths.trailing_percentile(a.bars(spark, sf_dir), F.lit(True), 1095).select(*KEY, F.round("percentile", 6).alias("percentile"))
+    return paths.trailing_percentile(a.bars(spark, sf_dir), F.lit(True), 1095).select(*KEY, F.round("percentile", 9).alias("percentile"))
+
+
+query("W35_percentile", SQL["W35_percentile_all"])(percentile_all)
 
 
 YOY = f"""{FILINGS}, q AS (SELECT * FROM filings WHERE vintage = 0), yoy AS (SELECT c.company_id, c.period_end, c.revenue, p.revenue AS prior,

@@ -9,7 +9,7 @@ from ..operators import joins as j
 from ..operators import paths, pit
 from ..operators import windows as w
 from ..sources import adapters as a
-from .registry import query
+from .registry import SQL, query
 from .views import ACTIONS, BARS, FILINGS, INTERVALS, MARKET, UNIVERSE, W
 
 T0S = "t0s AS (SELECT DISTINCT company_id, CAST(period_end + 100 AS DATE) AS t0 FROM filings)"
@@ -125,14 +125,6 @@ def prior_year_window(spark, sf_dir):
     return q.join(p, "company_id").where(F.datediff("period_end", "prior_end").between(300, 420)).groupBy("company_id", "period_end").agg(F.max("prior_end").alias("prior_end"))
 
 
-@query("J15_absorbed", f"""WITH {FILINGS}, e AS (SELECT company_id, period_end + 10 AS happened FROM filings WHERE vintage = 0 AND quarter(period_end) = 1)
-SELECT e.company_id, e.happened, count(f.published) AS later, count(f.published) >= 2 AS absorbed FROM e LEFT JOIN filings f ON f.company_id = e.company_id AND f.published > e.happened GROUP BY 1, 2""")
-def absorbed(spark, sf_dir):
-    """Events of first quarters, as in the SQL. ``J15_absorbed_all`` has those of all filings."""
-    f = a.filings(spark, sf_dir)
-    return _absorbed(f, f.where("vintage = 0 AND quarter(period_end) = 1"))
-
-
 @query("J15_absorbed_all", f"""WITH {FILINGS}, e AS (SELECT DISTINCT company_id, period_end + 10 AS happened FROM filings)
 SELECT e.company_id, e.happened, count(f.published) AS later, count(f.published) >= 2 AS absorbed FROM e LEFT JOIN filings f ON f.company_id = e.company_id AND f.published > e.happened GROUP BY 1, 2""")
 def absorbed_all(spark, sf_dir):
@@ -141,6 +133,9 @@ def absorbed_all(spark, sf_dir):
     return _absorbed(f, f.select("company_id", "period_end").distinct())
 
 
+query("J15_absorbed", SQL["J15_absorbed_all"])(absorbed_all)
+
+
 def _absorbed(f, filed):
     e = filed.select("company_id", F.date_add("period_end", 10).alias("happened"))
     x = e.join(f.select(F.col("company_id").alias("c"), "published"), (F.col("company_id") == F.col("c")) & (F.col("published") > F.col("happened")), "left")
@@ -198,17 +193,17 @@ def common_dates(spark, sf_dir):
     return bars.where("company_id = 'Brand#1'").select("trading_date").intersect(bars.where("company_id = 'Brand#2'").select("trading_date"))
 
 
-@query("U4_metamorphic", f"WITH {BARS} SELECT company_id, trading_date, 0 AS differs FROM bars WHERE false")
+@query("U4_metamorphic", f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) AS n FROM bars) SELECT company_id, count(*) AS bars, count(*) FILTER (n >= 20) AS means, CAST(0 AS BIGINT) AS differ FROM n GROUP BY company_id""")
 def metamorphic(spark, sf_dir):
-    """Rows whose mean changes when another company's bars are added: there are none."""
+    """Per company, its bars, those with a mean, and the means that change when bars of other companies are added: there are none."""
     bars = a.bars(spark, sf_dir)
     more = bars.unionByName(bars.withColumn("company_id", F.concat(F.lit("poison "), F.col("company_id"))).withColumn("close", F.col("close") * 100))
 
-    def means(x):
-        return x.withColumn("s", w.sma(20)).where("company_id NOT LIKE 'poison%'").select("company_id", "trading_date", "s")
+    def means(x, name):
+        return x.withColumn(name, w.sma(20)).where("company_id NOT LIKE 'poison%'").select("company_id", "trading_date", name)
 
-    one, two = means(bars), means(more)
-    return one.exceptAll(two).unionByName(two.exceptAll(one)).select("company_id", "trading_date", F.lit(1).alias("differs"))
+    both = means(bars, "s").join(means(more, "t"), ["company_id", "trading_date"], "full")
+    return both.groupBy("company_id").agg(F.count("*").alias("bars"), F.count("s").alias("means"), F.count_if(~F.col("s").eqNullSafe(F.col("t"))).alias("differ"))
 
 
 @query("S12_upsert", f"""WITH {FILINGS} SELECT company_id, period_end, round(arg_max(revenue, published), 2) AS revenue FROM filings GROUP BY company_id, period_end""")

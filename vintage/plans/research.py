@@ -10,7 +10,7 @@ from ..sources import adapters as a
 from .bar_windows import START
 from .joins import AS_OF
 from .joins import dates as filing_dates
-from .registry import query
+from .registry import SQL, query
 from .views import BARS, FILINGS, UNIVERSE
 
 
@@ -152,15 +152,6 @@ def feature_catalogue(spark, sf_dir):
     return c.unpivot(["c_custkey"], ["balance", "nation"], "feature", "value").withColumn("missing", F.col("value").isNull())
 
 
-@query("S11_snapshot", f"""WITH {FILINGS} SELECT company_id, period_end, vintage, sha256('revenue=' || CAST(CAST(revenue AS DECIMAL(38,6)) AS VARCHAR) || '|vintage=' || CAST(CAST(vintage AS DECIMAL(38,6)) AS VARCHAR)) AS hash FROM filings WHERE vintage = 0 AND company_id = '7'""")
-def snapshot(spark, sf_dir):
-    """Rows as the append-only snapshot sink stores them, with their content hash; one company and the first vintage, as in the SQL. ``S11_snapshot_all`` has all."""
-    from ..functions.scalars import canonical_hash
-
-    f = a.filings(spark, sf_dir).where("vintage = 0 AND company_id = '7'")
-    return f.select("company_id", "period_end", "vintage", canonical_hash(["revenue", "vintage"]).alias("hash"))
-
-
 @query("S11_snapshot_all", f"""WITH {FILINGS} SELECT company_id, period_end, vintage, sha256('revenue=' || CAST(CAST(round(revenue, 2) AS DECIMAL(38,6)) AS VARCHAR) || '|vintage=' || CAST(CAST(vintage AS DECIMAL(38,6)) AS VARCHAR)) AS hash FROM filings""")
 def snapshot_all(spark, sf_dir):
     """All companies and vintages. Prices have two decimals; the sum is rounded to them before it is hashed, so that the order of addition does not show."""
@@ -168,3 +159,6 @@ def snapshot_all(spark, sf_dir):
 
     f = a.filings(spark, sf_dir).withColumn("revenue", F.round("revenue", 2))
     return f.select("company_id", "period_end", "vintage", canonical_hash(["revenue", "vintage"]).alias("hash"))
+
+
+query("S11_snapshot", SQL["S11_snapshot_all"])(snapshot_all)

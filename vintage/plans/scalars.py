@@ -11,7 +11,7 @@ from .views import BARS, DELIVERY, FILINGS, W, over
 
 DOCS = "documents"
 TYPES = "[" + ", ".join(f"'{t}'" for t in a.EVENT_TYPES) + "]"
-NEWS = f"""news AS (SELECT doc_id, substring(text, 1, 200) AS headline, {TYPES}[doc_id % 16 + 1] AS event_type, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published FROM documents)"""
+NEWS = f"""news AS (SELECT doc_id, text AS headline, {TYPES}[doc_id % 16 + 1] AS event_type, TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS published FROM documents)"""
 WEIGHT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in f.TYPE_WEIGHTS.items()) + f" ELSE {f.OTHER_WEIGHT} END"
 
 
@@ -66,11 +66,26 @@ def decay(spark, sf_dir):
     return x.select("doc_id", F.round("decayed", 4).alias("decayed"), f.lifecycle(F.col("decayed"), F.col("raw"), F.col("hours"), F.col("structural")).alias("status"))
 
 
-@query("F7_filing_class", f"""WITH {NEWS} SELECT doc_id, CASE WHEN contains(lower(headline), 'licens') THEN 'LICENCE' WHEN contains(lower(headline), 'the ') THEN 'GENERAL' WHEN contains(lower(headline), 'der ') THEN 'FOREIGN' ELSE 'OTHER' END AS class FROM news""")
+@query("F7_filing_class", f"""WITH {NEWS}, u AS (SELECT doc_id, upper(headline) AS h FROM news) SELECT doc_id, CASE {' '.join(f"WHEN {' OR '.join(f"contains(h, '{w}')" for w in words)} THEN '{kind}'" for kind, _, words in f.FILING_CLASSES)} ELSE 'GENERAL_CORPORATE_DISCLOSURE' END AS class,
+  CASE {' '.join(f"WHEN {' OR '.join(f"contains(h, '{w}')" for w in words)} THEN '{weight}'" for _, weight, words in f.FILING_CLASSES)} ELSE 'LOW' END AS weight FROM u""")
 def filing_class(spark, sf_dir):
-    text = F.lower("headline")
-    kind = F.when(F.contains(text, F.lit("licens")), "LICENCE").when(F.contains(text, F.lit("the ")), "GENERAL").when(F.contains(text, F.lit("der ")), "FOREIGN").otherwise("OTHER")
-    return a.announcements(spark, sf_dir).select("doc_id", kind.alias("class"))
+    kind, weight = f.filing_class(F.col("headline"))
+    return a.announcements(spark, sf_dir).select("doc_id", kind.alias("class"), weight.alias("weight"))
+
+
+_EVENT = {kind: " OR ".join(f"contains(h, '{w}')" for w in words) for kind, _, words in f.EVENT_WORDS}
+
+
+@query("F6_event_parser", f"""WITH {NEWS}, u AS (SELECT doc_id, lower(headline) || ' of rs. ' || doc_id || ',' || (100 + doc_id % 900) || '.5 crore' || CASE doc_id % 4 WHEN 0 THEN ' received order' WHEN 1 THEN ' new plant' WHEN 2 THEN ' cfo resigns' ELSE '' END AS h FROM news)
+SELECT doc_id, CASE {' '.join(f"WHEN {words} THEN '{kind}'" for kind, words in _EVENT.items())} ELSE 'OTHER' END AS event, CASE {' '.join(f"WHEN {' OR '.join(f"contains(h, '{w}')" for w in words)} THEN {m}" for _, m, words in f.EVENT_WORDS)} ELSE 0.5 END AS materiality,
+  CASE WHEN {_EVENT['ORDER_WIN']} THEN CAST(replace(nullif(regexp_extract(h, '(?:rs\\.?|inr|worth)\\s*(\\d+(?:,\\d+)*(?:\\.\\d+)?)\\s*(?:cr|crore)', 1), ''), ',', '') AS DOUBLE) * 10000000 END AS order_size FROM u""")
+def event_parser(spark, sf_dir):
+    """Announcements with an amount behind them, parsed for orders, capital spending and changes of management."""
+    k = F.col("doc_id")
+    tail = F.when(k % 4 == 0, " received order").when(k % 4 == 1, " new plant").when(k % 4 == 2, " cfo resigns").otherwise("")
+    text = F.concat("headline", F.lit(" of Rs. "), k.cast("string"), F.lit(","), (100 + k % 900).cast("string"), F.lit(".5 Crore"), tail)
+    kind, materiality, size = f.event_of(text)
+    return a.announcements(spark, sf_dir).select("doc_id", kind.alias("event"), materiality.alias("materiality"), size.alias("order_size"))
 
 
 @query("F9_board_status", f"""WITH {NEWS}, m AS (SELECT doc_id, CAST(published AS DATE) AS meeting FROM news) SELECT doc_id, meeting - DATE '2024-01-20' AS days, CASE WHEN meeting - DATE '2024-01-20' < 0 THEN 'COMPLETED' WHEN meeting - DATE '2024-01-20' <= 3 THEN 'IMMINENT' ELSE 'SCHEDULED' END AS status,
@@ -164,23 +179,20 @@ def valuation(spark, sf_dir):
     return x.select("company_id", "trading_date", F.round(f.peg(F.col("pe"), F.col("growth"), F.lit(30.0)), 6).alias("peg"), F.round(f.fcf_yield(F.col("volume"), F.col("close") * 1000), 6).alias("fcf_yield"))
 
 
-@query("F22_implied_growth", """WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice / 100 AS cash, o_totalprice / 100 * (5 + o_orderkey % 60) AS value FROM orders WHERE o_orderkey % 10 = 0),
+@query("F22_implied_growth_all", """WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice / 100 AS cash, o_totalprice / 100 * (5 + o_orderkey % 60) AS value FROM orders),
  b AS (SELECT o_orderkey, cash, value, 1 AS step, -50.0::DOUBLE AS lo, 200.0::DOUBLE AS hi, false AS done FROM o UNION ALL
   SELECT o_orderkey, cash, value, step + 1, CASE WHEN done THEN lo WHEN hit OR gap < 0 THEN mid ELSE lo END, CASE WHEN done THEN hi WHEN hit OR gap >= 0 THEN mid ELSE hi END, done OR hit
   FROM (SELECT *, abs(gap) < 0.01 AS hit FROM (SELECT *, cash * (CASE WHEN abs(q - 1) < 1e-12 THEN 10 ELSE q * (1 - power(q, 10)) / (1 - q) END + power(q, 10) * 1.05 / (0.12 - 0.05)) - value AS gap
    FROM (SELECT *, (lo + hi) / 2 AS mid, (1 + (lo + hi) / 200) / 1.12 AS q FROM b WHERE step <= 60))))
 SELECT o_orderkey, round((lo + hi) / 2, 4) AS implied FROM b WHERE step = 61""")
-def implied_growth(spark, sf_dir):
-    """Every tenth order stands for a company, as in the SQL. ``F22_implied_growth_all`` has all orders."""
-    return _implied(a.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0"))
-
-
-@query("F22_implied_growth_all", SQL["F22_implied_growth"].replace(" WHERE o_orderkey % 10 = 0", ""))
 def implied_growth_all(spark, sf_dir):
     """Every order stands for a company."""
     return _implied(a.table(spark, sf_dir, "orders"))
 
 
+query("F22_implied_growth", SQL["F22_implied_growth_all"])(implied_growth_all)
+
+
 def _implied(orders):
     cash = F.col("o_totalprice") / 100
     return orders.select("o_orderkey", F.round(f.implied_growth(cash, cash * (5 + F.col("o_orderkey") % 60)), 4).alias("implied"))
@@ -241,11 +253,11 @@ def allocation(spark, sf_dir):
     return ranking.capped_allocation(c, ["c_nationkey", "c_mktsegment"], "c_acctbal", "c_custkey", 5.0, 20.0).select("c_custkey", "weight")
 
 
-@query("F38_regime", """SELECT event_id, CASE WHEN value > 80 THEN 'RISK_OFF' WHEN value > 40 AND event_type = 'error' THEN 'CAUTION' WHEN value < 10 THEN 'RISK_ON' ELSE 'NEUTRAL' END AS regime FROM events""")
+@query("F38_regime", """WITH q AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN 8 + value / 5 END AS vix, CASE WHEN event_id % 7 <> 0 THEN 60 + event_id % 45 END AS crude FROM events)
+SELECT event_id, CASE WHEN vix IS NULL AND crude IS NULL THEN 'DATA_OFFLINE_UNKNOWN' WHEN vix < 14 AND (crude IS NULL OR crude < 85) THEN 'BULLISH_EXPANSION' WHEN vix > 18 OR crude > 95 THEN 'RISK_OFF_CORRECTION' ELSE 'NEUTRAL_CONSOLIDATION' END AS regime FROM q""")
 def regime(spark, sf_dir):
-    v = F.col("price")
-    out = F.when(v > 80, "RISK_OFF").when((v > 40) & (F.col("kind") == "error"), "CAUTION").when(v < 10, "RISK_ON").otherwise("NEUTRAL")
-    return a.quotes(spark, sf_dir).select("event_id", out.alias("regime"))
+    vix, crude = F.when(F.col("kind") != "error", 8 + F.col("price") / 5), F.when(F.col("event_id") % 7 != 0, 60 + F.col("event_id") % 45)
+    return a.quotes(spark, sf_dir).select("event_id", f.macro_regime(vix, crude).alias("regime"))
 
 
 @query("F39_readiness_bin", "SELECT c_custkey, CASE WHEN s >= 85 THEN '85+' WHEN s >= 75 THEN '75-84' WHEN s >= 65 THEN '65-74' WHEN s >= 55 THEN '55-64' ELSE '<55' END AS bin FROM (SELECT c_custkey, c_acctbal / 100 AS s FROM customer)")
@@ -262,15 +274,14 @@ def dates(spark, sf_dir):
     return o.select("o_orderkey", f.mixed_date(text).alias("day"))
 
 
-@query("S15_symbols", """WITH t AS (SELECT doc_id, string_split_regex(upper(replace(substring(text, 1, 400), 'ß', 'ss')), '[^A-Z]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+@query("S15_symbols", """WITH t AS (SELECT doc_id, string_split_regex(upper(replace(text, 'ß', 'ss')), '[^A-Z]+') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
  f AS (SELECT doc_id, word, min(pos) AS pos FROM u WHERE length(word) BETWEEN 3 AND 5 AND word NOT IN ('THE', 'AND', 'FOR', 'WITH') GROUP BY doc_id, word)
 SELECT doc_id, word AS symbol, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM f""")
 def symbols(spark, sf_dir):
     """Distinct symbol-like words of a headline in order of appearance."""
     from ..sources import parsers
 
-    docs = a.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    return parsers.symbols(docs, "doc_id", "text").select("doc_id", "symbol", F.col("place").cast("long").alias("place"))
+    return parsers.symbols(a.table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "symbol", F.col("place").cast("long").alias("place"))
 
 
 @query("S17_publication_lag", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + CASE WHEN o_orderkey % 4 = 0 THEN 60 ELSE 45 END END AS published, o_orderstatus <> 'F' AS estimated FROM orders""")

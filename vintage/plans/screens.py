@@ -43,10 +43,10 @@ def threshold_screen(spark, sf_dir):
     return fundamentals(spark, sf_dir).where(p.screen(request)).select("c_custkey")
 
 
-@query("P4_predicates", f"WITH {FUNDAMENTALS} SELECT c_custkey FROM fund WHERE growth > 5 AND pe <= growth AND roce BETWEEN 2 AND 20 AND c_nationkey <> 3")
+@query("P4_predicates", f"WITH {FUNDAMENTALS} SELECT c_custkey FROM fund WHERE growth > 5 AND growth <= pe AND roce BETWEEN 2 AND 20 AND c_nationkey <> 3")
 def predicates(spark, sf_dir):
     rules = [
-        {"left": "growth", "operation": "greater", "right": 5}, {"left": "pe", "operation": "eless", "right": "growth"}, {"left": "roce", "operation": "in_range", "right": [2, 20]},
+        {"left": "growth", "operation": "greater", "right": 5}, {"left": "growth", "operation": "eless", "right": "pe"}, {"left": "roce", "operation": "in_range", "right": [2, 20]},
         {"left": "c_nationkey", "operation": "nequal", "right": 3},
     ]
     x = fundamentals(spark, sf_dir)

@@ -107,11 +107,11 @@ EVENT_TYPES = (
 
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, headline, event_type, published``: one per document, an hour apart."""
+    """``doc_id, headline, event_type, published``: one per document with its whole text, an hour apart."""
     docs = table(spark, sf_dir, "documents")
     kinds = F.array(*(F.lit(t) for t in EVENT_TYPES))
     return docs.select(
-        "doc_id", F.substring("text", 1, 200).alias("headline"), F.element_at(kinds, (F.col("doc_id") % 16 + 1).cast("int")).alias("event_type"),
+        "doc_id", F.col("text").alias("headline"), F.element_at(kinds, (F.col("doc_id") % 16 + 1).cast("int")).alias("event_type"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id as int), 0, 0)").alias("published"),
     )
 
