@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,12 +30,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    A session that names no such folder is refused: a folder of this machine
-    would not do on a cluster.
+    Where the session names none, one of this machine is made and set, but only if
+    driver and executors are one process; on a cluster that is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
