@@ -106,6 +106,12 @@ def materiality(kind: Column, text: Column, value: Column, revenue: Column) -> C
     return clamp(weight * size * direction(text, weight), -100.0, 100.0)
 
 
+def macro_probability(score: Column, mood: Column, index_change: Column, beta: Column) -> tuple[Column, Column]:
+    """Probability in percent of a score, between 10 and 92, and the factor by which the market moves it: 0.8 to 1.1, as the beta lets it; 1 without a mood."""
+    factor = F.when(mood.isNull(), 1.0).otherwise(clamp(1 + ((mood - 50) / 100 * 0.5 + index_change / 10 * 0.5) * clamp(beta, 0.4, 2.0), 0.80, 1.10))
+    return clamp(clamp(logistic((score - 50) / 20) * 100, 10.0, 92.0) * factor, 10.0, 92.0), factor
+
+
 # Classes of filings by ordered keywords, and words of the event parser, with their weights.
 FILING_CLASSES = (
     ("EARNINGS_RESULT", "HIGH", ("FINANCIAL RESULT", "UNAUDITED FINANCIAL", "AUDITED FINANCIAL", "EARNINGS", "Q1", "Q2", "Q3", "Q4")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as f
 from ..operators import engines, features, scores
 from ..sources import statements as s
+from ..sources.stored import stored
 from .feature_sql import FEATURES, FUNDAMENTALS, newest
 from .registry import query
 
@@ -22,8 +23,9 @@ NUMBERS = (
 
 
 def vector(spark, sf_dir):
-    rows = s.statements(spark, sf_dir)
-    return features.feature_vector(rows, s.listed_bars(spark, sf_dir), s.reading_dates(rows))
+    rows = stored(s.statements(spark, sf_dir), "statements")
+    dates = stored(s.reading_dates(rows), "dates")
+    return features.feature_vector(rows, stored(s.listed_bars(spark, sf_dir), "bars"), dates)
 
 
 def _rounded(x, names, digits=4):

@@ -131,11 +131,15 @@ def candle(spark, sf_dir):
     )
 
 
-@query("F14_logistic", "SELECT event_id, round(least(greatest(1 / (1 + exp(-(value - 50) / 25)), 0.05), 0.95) * CASE WHEN event_type = 'error' THEN 0.9 ELSE 1 END, 6) AS probability FROM events")
+@query("F14_logistic", """WITH q AS (SELECT event_id, value AS score, CASE WHEN event_type <> 'error' THEN 20.0 + event_id % 61 END AS mood, (event_id % 41 - 20) / 10.0 AS index_change, 0.2 + (event_id % 23) / 10.0 AS beta FROM events),
+ p AS (SELECT *, least(92, greatest(10, 100 / (1 + exp(-(score - 50) / 20)))) AS raw, CASE WHEN mood IS NULL THEN 1 ELSE least(1.10, greatest(0.80, 1 + ((mood - 50) / 100 * 0.5 + index_change / 10 * 0.5) * least(2.0, greatest(0.4, beta)))) END AS factor FROM q)
+SELECT event_id, round(least(92, greatest(10, raw * factor)), 6) AS probability, round(factor, 6) AS factor FROM p""")
 def logistic(spark, sf_dir):
-    q = a.quotes(spark, sf_dir)
-    macro = F.when(F.col("kind") == "error", 0.9).otherwise(1.0)
-    return q.select("event_id", F.round(f.clamp(f.logistic((F.col("price") - 50) / 25), 0.05, 0.95) * macro, 6).alias("probability"))
+    """Probability of scores in percent between 10 and 92, moved by mood and index change as far as the beta lets them; where the mood is missing, unmoved."""
+    k = F.col("event_id")
+    x = a.quotes(spark, sf_dir).withColumns({"mood": F.when(F.col("kind") != "error", 20.0 + k % 61), "index_change": (k % 41 - 20) / 10.0, "beta": 0.2 + (k % 23) / 10.0})
+    probability, factor = f.macro_probability(F.col("price"), F.col("mood"), F.col("index_change"), F.col("beta"))
+    return x.select("event_id", F.round(probability, 6).alias("probability"), F.round(factor, 6).alias("factor"))
 
 
 @query("F15_circuit", f"""WITH {BARS}, c AS (SELECT *, (close / lag(close) OVER ({W}) - 1) * 100 AS change FROM bars) SELECT company_id, trading_date,
@@ -293,11 +297,38 @@ def publication_lag(spark, sf_dir):
     return parsers.publication_dates(o).select("o_orderkey", "published", "estimated")
 
 
-@query("S10_validation", f"""WITH {BARS} SELECT company_id, trading_date, CASE WHEN low > high THEN 'LOW_ABOVE_HIGH' WHEN close < low OR close > high THEN 'CLOSE_OUTSIDE' WHEN volume < 20 THEN 'THIN' END AS reason FROM bars""")
+#: Every seventh bar is spoilt in one of five ways, so that each rule has something to find.
+SPOILT = f"""k AS (SELECT *, row_number() OVER ({W}) % 35 AS k FROM bars), spoilt AS (SELECT company_id, trading_date, CASE k WHEN 7 THEN high * 1.1 WHEN 14 THEN low * 0.9 ELSE open END AS open, CASE k WHEN 21 THEN low * 0.9 ELSE high END AS high, low,
+  CASE k WHEN 28 THEN low * 0.5 ELSE close END AS close, CASE k WHEN 0 THEN -volume ELSE volume END AS volume FROM k)"""
+
+
+@query("S10_validation", f"""WITH {BARS}, {SPOILT} SELECT company_id, trading_date, CASE WHEN high < low THEN 'LOW_ABOVE_HIGH' WHEN high < open OR high < close THEN 'HIGH_BELOW_OPEN_OR_CLOSE' WHEN low > open OR low > close THEN 'LOW_ABOVE_OPEN_OR_CLOSE' WHEN volume < 0 THEN 'NEGATIVE_VOLUME' END AS reason FROM spoilt""")
 def validation(spark, sf_dir):
+    from ..operators import windows as w
+    from ..sources import parsers
+
+    x = a.bars(spark, sf_dir).withColumn("k", F.row_number().over(w.sessions()) % 35)
+    k, low = F.col("k"), F.col("low")
+    x = x.select(
+        "company_id", "trading_date", F.when(k == 7, F.col("high") * 1.1).when(k == 14, low * 0.9).otherwise(F.col("open")).alias("open"), F.when(k == 21, low * 0.9).otherwise(F.col("high")).alias("high"), "low",
+        F.when(k == 28, low * 0.5).otherwise(F.col("close")).alias("close"), F.when(k == 0, -F.col("volume")).otherwise(F.col("volume")).alias("volume"),
+    )
+    return x.select("company_id", "trading_date", parsers.candle_fault().alias("reason"))
+
+
+@query("S10_balance_validation", """WITH c AS (SELECT c_custkey, greatest(c_acctbal, 1) AS w, c_nationkey * 10.0 AS l, c_custkey % 9 AS k FROM customer), b AS (SELECT c_custkey, w, l, CASE k WHEN 3 THEN (w + l) * 1.2 ELSE (w + l) * 1.01 END AS assets, w * 0.2 AS ebit, w * 0.05 AS dep, w * 0.25 * CASE k WHEN 5 THEN 1.5 ELSE 1 END AS ebitda,
+  w * 0.3 AS cfo, w * 0.1 AS capex, w * 0.2 * CASE k WHEN 7 THEN 0.5 ELSE 1 END AS fcf FROM c)
+SELECT c_custkey, CASE WHEN abs(assets - w - l) > 0.05 * greatest(abs(assets), 1) THEN 'ASSETS_DO_NOT_BALANCE' WHEN abs(ebitda - ebit - dep) > 0.05 * greatest(abs(ebitda), 1) THEN 'EBITDA_MISMATCH' WHEN abs(fcf - cfo + capex) > 0.05 * greatest(abs(fcf), 1) THEN 'FREE_CASH_FLOW_MISMATCH' END AS reason FROM b""")
+def balance_validation(spark, sf_dir):
+    """Three identities of a statement, each broken in one customer of nine."""
     from ..sources import parsers
 
-    return a.bars(spark, sf_dir).select("company_id", "trading_date", parsers.candle_fault().alias("reason"))
+    k, own = F.col("c_custkey") % 9, F.greatest(F.col("c_acctbal"), F.lit(1.0))
+    x = a.table(spark, sf_dir, "customer").select(
+        "c_custkey", own.alias("net_worth"), (F.col("c_nationkey") * 10.0).alias("total_liabilities"), ((own + F.col("c_nationkey") * 10.0) * F.when(k == 3, 1.2).otherwise(1.01)).alias("total_assets"), (own * 0.2).alias("ebit"),
+        (own * 0.05).alias("depreciation"), (own * 0.25 * F.when(k == 5, 1.5).otherwise(1.0)).alias("ebitda"), (own * 0.3).alias("operating_cash_flow"), (own * 0.1).alias("capex"), (own * 0.2 * F.when(k == 7, 0.5).otherwise(1.0)).alias("free_cash_flow"),
+    )
+    return x.select("c_custkey", parsers.balance_fault().alias("reason"))
 
 
 @query("S16_event_dimension", f"""WITH {NEWS} SELECT doc_id, CASE WHEN event_type IN ('ORDER_WIN', 'CONTRACT_AWARD') THEN 'growth' WHEN event_type IN ('CREDIT_RATING_UPGRADE', 'CREDIT_RATING_DOWNGRADE', 'PLEDGE_INCREASE') THEN 'solvency'

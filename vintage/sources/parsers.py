@@ -130,8 +130,10 @@ def with_confidence(keys: DataFrame, sources: list[tuple[str, DataFrame]], key:
 
 def candle_fault() -> Column:
     """Why a bar is not usable; null for a sound one."""
-    outside = (F.col("close") < F.col("low")) | (F.col("close") > F.col("high"))
-    return F.when(F.col("low") > F.col("high"), "LOW_ABOVE_HIGH").when(outside, "CLOSE_OUTSIDE").when(F.col("volume") < 20, "THIN")
+    open_, high, low, close = (F.col(k) for k in ("open", "high", "low", "close"))
+    return (
+        F.when(high < low, "LOW_ABOVE_HIGH").when((high < open_) | (high < close), "HIGH_BELOW_OPEN_OR_CLOSE").when((low > open_) | (low > close), "LOW_ABOVE_OPEN_OR_CLOSE").when(F.col("volume") < 0, "NEGATIVE_VOLUME")
+    )
 
 
 def balance_fault(tolerance: float = 0.05) -> Column:
