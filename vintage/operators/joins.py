@@ -1,23 +1,21 @@
-"""Interval and event joins. Every range is the condition of a hash join on a key, or its small side is measured and broadcast."""
+"""Interval and event joins. Every range is the condition of a hash join on a key: the company, or a year or month that both sides touch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a merged interval table that are broadcast; more are joined by day.
-BROADCAST_ROWS = 500_000
-
-
 def members_at(universe: DataFrame, dates: DataFrame) -> DataFrame:
     """Members at each date: intervals closed at both ends, an open end is null.
 
-    Dates are few (decision dates); each membership is expanded only to the dates it holds.
+    Memberships meet dates by year; only the first and the last date come to the driver.
     """
-    inside = (F.col("effective_from") <= F.col("t0")) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("t0")))
-    all_dates = dates.select(F.array_sort(F.collect_set("t0")).alias("ts"))  # one row of decision dates
-    held = universe.join(F.broadcast(all_dates), F.lit(True))
-    return held.withColumn("t0", F.explode("ts")).where(inside).drop("ts")
+    low, high = dates.agg(F.min("t0"), F.max("t0")).first()
+    start, end = F.col("effective_from"), F.col("effective_to")
+    touching = universe.where((start <= F.lit(high)) & (end.isNull() | ((end >= F.lit(low)) & (end >= start))))
+    years = F.sequence(F.year(F.greatest(start, F.lit(low))), F.year(F.least(F.coalesce(end, F.lit(high)), F.lit(high))))
+    d = dates.select("t0").distinct().withColumn("_y", F.year("t0"))
+    return touching.withColumn("_y", F.explode(years)).join(d, "_y").where((start <= F.col("t0")) & (end.isNull() | (end >= F.col("t0")))).drop("_y")
 
 
 def islands(intervals: DataFrame) -> DataFrame:
@@ -32,13 +30,21 @@ def islands(intervals: DataFrame) -> DataFrame:
     return starts.withColumn("k", n.over(Window.orderBy("island_start"))).join(ends.withColumn("k", n.over(Window.orderBy("island_end"))), "k").drop("k")
 
 
+def _months(start: Column, end: Column) -> Column:
+    """First days of the months of a half-open interval."""
+    return F.sequence(F.trunc(start, "month"), F.trunc(F.date_sub(end, 1), "month"), F.expr("interval 1 month"))
+
+
 def purge(train: DataFrame, test: DataFrame, same_company: bool) -> DataFrame:
     """Training rows whose label interval overlaps no test interval (of the same company)."""
     if same_company:
         t = test.select(F.col("company_id").alias("_c"), F.col("label_start").alias("_s"), F.col("label_end").alias("_e"))
         return train.join(t, (F.col("company_id") == F.col("_c")) & (F.col("label_start") < F.col("_e")) & (F.col("_s") < F.col("label_end")), "left_anti")
-    merged = islands(test)  # at most as many rows as there are days
-    return train.join(F.broadcast(merged), (F.col("label_start") < F.col("island_end")) & (F.col("island_start") < F.col("label_end")), "left_anti")
+    # Both sides by the months that they touch; islands are disjoint, so that a month has few of them.
+    merged = islands(test).withColumn("_m", F.explode(_months(F.col("island_start"), F.col("island_end"))))
+    spans = train.select("observation_id", "label_start", "label_end").where("label_start < label_end").withColumn("_m", F.explode(_months(F.col("label_start"), F.col("label_end"))))
+    hit = spans.join(merged, "_m").where("label_start < island_end AND island_start < label_end").select("observation_id").distinct()
+    return train.join(hit, "observation_id", "left_anti").select(*train.columns)
 
 
 def fold_overlap(train: DataFrame, test: DataFrame) -> DataFrame:
