@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import passage
 from .windows import sessions, last_bars
 
 
@@ -72,38 +73,43 @@ def year_anchors(bars: DataFrame) -> DataFrame:
     return bars.groupBy("company_id", F.year("trading_date").alias("y")).agg(F.min("trading_date").alias("t0")).select("company_id", "t0")
 
 
-def forward(bars: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Bars at and after each decision date with offset ``i``, start price and running peak: a hash join on the company, the range is its condition."""
-    at = Window.partitionBy("company_id", "t0").orderBy("trading_date")
-    x = bars.join(anchors, "company_id").where("trading_date >= t0").select("company_id", "t0", "trading_date", F.col("close").alias("p"))
-    return x.withColumns({"i": F.row_number().over(at) - 1, "p0": F.first("p").over(at), "peak": F.max("p").over(at)})
+#: Multiples of the start price whose first passage is an outcome.
+MULTIPLES = (1.2, 2.0, 5.0, 10.0)
 
 
 def outcomes(bars: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Drawdown, run and first passages per decision date."""
-    x = forward(bars, anchors)
-    ratio = F.col("p") / F.col("p0")
-    dip = F.min((F.col("p") - F.col("peak")) / F.col("peak"))
-    return x.groupBy("company_id", "t0").agg(
-        (dip * 100).alias("max_drawdown"), (F.max(ratio - 1) * 100).alias("max_run"), F.count("*").alias("bars"), F.first("p0").alias("p0"), F.max_by("p", "i").alias("p_last"),
-        F.min(F.when(ratio >= 1.2, F.col("i"))).cast("long").alias("bar_up"), F.min(F.when(ratio >= 2, F.col("i"))).cast("long").alias("bar_2x"),
-        F.min(F.when(ratio >= 5, F.col("i"))).cast("long").alias("bar_5x"), F.min(F.when(ratio >= 2, F.col("trading_date"))).alias("date_2x"),
-        ((dip <= -0.5) & (F.count(F.when(ratio >= 2, 1)) == 0)).alias("failed"),
-    )
+    """Drawdown, run and first passages per decision date: ``bar_*`` (bars from the start), ``date_*``, ``price_*`` and ``low_*`` (lowest close before) for 1.2 (``up``), 2, 5 and 10 times the start price."""
+    rows = passage.numbered(bars)
+    start = passage.starts(rows, anchors)
+    asked = start.select("company_id", "t0", "i", "p0", F.explode(F.array(*(F.lit(m) for m in MULTIPLES))).alias("multiple")).withColumn("level", F.col("multiple") * F.col("p0"))
+    found = passage.first_passages(asked, passage.Levels(rows))
+    named = {"up": 1.2, "2x": 2.0, "5x": 5.0, "10x": 10.0}
+
+    def only(m: float, value: Column) -> Column:
+        return F.max(F.when(F.col("multiple") == m, value))
+
+    hit = F.col("hit").isNotNull()
+    columns = [c for n, m in named.items() for c in (
+        only(m, F.col("hit") - F.col("i")).cast("long").alias(f"bar_{n}"), only(m, F.col("hit_date")).alias(f"date_{n}"), only(m, F.col("hit_price")).alias(f"price_{n}"), only(m, F.when(hit, F.col("low_before"))).alias(f"low_{n}"),
+    )]
+    wide = found.groupBy("company_id", "t0").agg(*columns)
+    out = start.drop("i").join(wide, ["company_id", "t0"])
+    return out.withColumn("failed", (F.col("max_drawdown") <= -50) & F.col("bar_2x").isNull())
 
 
 def low_before(bars: DataFrame, anchors: DataFrame, multiple: float) -> DataFrame:
     """Lowest price before the first passage of a multiple; null where it never passes."""
-    x = forward(bars, anchors)
-    whole = Window.partitionBy("company_id", "t0")
-    x = x.withColumn("hit", F.min(F.when(F.col("p") / F.col("p0") >= multiple, F.col("i"))).over(whole))
-    return x.groupBy("company_id", "t0").agg(F.min(F.when(F.col("i") < F.col("hit"), F.col("p"))).alias("low_before"))
+    rows = passage.numbered(bars)
+    asked = passage.starts(rows, anchors).withColumn("level", F.lit(multiple) * F.col("p0"))
+    found = passage.first_passages(asked, passage.Levels(rows))
+    return found.select("company_id", "t0", F.when(F.col("hit").isNotNull(), F.col("low_before")).alias("low_before"))
 
 
 def path_vectors(bars: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """The first prices of each path as an array of bounded length."""
-    x = forward(bars, anchors).where(F.col("i") < length)
-    return x.groupBy("company_id", "t0").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("path"))
+    rows = passage.numbered(bars)
+    x = passage.spans(passage.starts(rows, anchors), rows, length, "p")
+    return x.select("company_id", "t0", F.col("path.p").alias("path"))
 
 
 def wealth(x: DataFrame, start: float) -> DataFrame:

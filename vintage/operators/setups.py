@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import passage
 from .windows import sessions, last_bars, pct_from, trend_template
 
 # Fixed values of the entry gates, the walk and the cool-down.
@@ -125,14 +126,13 @@ def candidates(x: DataFrame) -> DataFrame:
 def label(entries: DataFrame, bars: DataFrame, optimistic: bool = False) -> DataFrame:
     """Outcome of each entry over the bars behind it: what is touched first, trailing after the first target, excursions.
 
-    The bars are collected per entry by an equi-join with a range of 45 bars as
-    its condition; the walk over them is one fold. Where a bar touches both stop
+    An entry meets the one or two blocks of 64 bars that hold its path, by an
+    equi-join; the walk over the path is one fold. Where a bar touches both stop
     and target, the stop counts first unless ``optimistic``.
     """
-    b = bars.select("company_id", "n", F.struct("n", "open", "high", "low", "close").alias("bar"))
-    near = (F.col("e.company_id") == F.col("b.company_id")) & F.col("b.n").between(F.col("e.entry_n") + 1, F.col("e.entry_n") + HORIZON)
     keys = entries.columns
-    x = entries.alias("e").join(b.alias("b"), near).groupBy(*(F.col(f"e.{k}") for k in keys)).agg(F.array_sort(F.collect_list("b.bar")).alias("path"))
+    rows = bars.select("company_id", F.col("n").alias("i"), "open", "high", "low", "close")
+    x = passage.spans(entries.withColumn("i", F.col("entry_n")), rows, HORIZON, "open", "high", "low", "close", after=1).where(F.size("path") > 0)
     entry, stop = F.col("entry"), F.col("stop")
     unit = F.greatest(F.lit(0.01), entry - stop)
     none = F.lit(None).cast("int")

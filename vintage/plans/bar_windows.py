@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import paths
+from ..operators import paths, recurrence
 from ..operators import windows as w
 from ..sources import adapters as a
 from .registry import SQL, query
@@ -150,18 +150,23 @@ def drawdown(spark, sf_dir):
     return out.select("company_id", "t0", F.round("max_drawdown", 4).alias("max_drawdown"), F.round("max_run", 4).alias("max_run"), "bars")
 
 
-@query("W13_offset_prices", f"""WITH {BARS} SELECT company_id, trading_date, {', '.join(f"round(lead(close, {k}) OVER ({W}) / close - 1, 6) AS r{k}" for k in (1, 5, 20, 60, 120, 252))} FROM bars""")
+@query("W13_offset_prices", f"""WITH {BARS} SELECT company_id, trading_date, {', '.join(f"round(lead(close, {k}) OVER ({W}) / close - 1, 6) AS r{k}" for k in (1, 5, 20, 60, 120, 252, 504, 756))} FROM bars""")
 def offset_prices(spark, sf_dir):
-    ahead = (1, 5, 20, 60, 120, 252)
+    ahead = (1, 5, 20, 60, 120, 252, 504, 756)
     out = a.bars(spark, sf_dir).withColumns({f"r{k}": F.lead("close", k).over(w.sessions()) / F.col("close") - 1 for k in ahead})
     return rounded(out, *(f"r{k}" for k in ahead), digits=6)
 
 
-@query("W14_first_passage", f"""WITH {BARS}, {START} SELECT company_id, t0, min(i) FILTER (p / p0 >= 1.2) AS bar_up, min(i) FILTER (p / p0 >= 2) AS bar_2x,
-  min(trading_date) FILTER (p / p0 >= 2) AS date_2x, min((p - peak) / peak) <= -0.5 AND count(*) FILTER (p / p0 >= 2) = 0 AS failed FROM pathed GROUP BY company_id, t0""")
+_MILESTONES = {"up": 1.2, "2x": 2, "5x": 5, "10x": 10}
+
+
+@query("W14_first_passage", f"""WITH {BARS}, {START} SELECT company_id, t0, {', '.join(f"min(i) FILTER (p >= {m} * p0) AS bar_{n}, min(trading_date) FILTER (p >= {m} * p0) AS date_{n}, round(arg_min(p, i) FILTER (p >= {m} * p0), 6) AS price_{n}" for n, m in _MILESTONES.items())},
+  min((p - peak) / peak) <= -0.5 AND count(*) FILTER (p >= 2 * p0) = 0 AS failed FROM pathed GROUP BY company_id, t0""")
 def first_passage(spark, sf_dir):
+    """First bar, date and price at 1.2, 2, 5 and 10 times the start price; failed: fell by half and never doubled."""
     bars = a.bars(spark, sf_dir)
-    return paths.outcomes(bars, paths.year_anchors(bars)).select("company_id", "t0", "bar_up", "bar_2x", "date_2x", "failed")
+    o = paths.outcomes(bars, paths.year_anchors(bars))
+    return o.select("company_id", "t0", *(c for n in _MILESTONES for c in (f"bar_{n}", f"date_{n}", F.round(f"price_{n}", 6).alias(f"price_{n}"))), "failed")
 
 
 @query("W15_low_before_milestone", f"""WITH {BARS}, {START}, hit AS (SELECT company_id, t0, min(i) FILTER (p / p0 >= 1.2) AS hit_at FROM pathed GROUP BY company_id, t0)
@@ -321,3 +326,16 @@ def near_high_screen(spark, sf_dir):
     x = x.withColumn("dist", w.pct_from(F.col("high_52w"))).withColumn("r", F.row_number().over(last)).where("r = 1 AND close > sma50")
     top = x.orderBy(F.col("dist").desc(), "company_id").limit(20)
     return top.select(*KEY, F.round("close", 4).alias("close"), F.round("dist", 4).alias("dist_high"), F.round("atr14", 4).alias("atr14"))
+
+
+@query("W36_wilder_history", f"""WITH RECURSIVE {BARS}, {TR}, seq AS (SELECT company_id, trading_date, n, true_range AS tr, greatest(close - pc, 0) AS gain, greatest(pc - close, 0) AS loss, avg(true_range) OVER {over(14)} AS simple FROM ranged),
+ w AS (SELECT company_id, 15::BIGINT AS n, avg(tr) AS atr, avg(gain) AS up, avg(loss) AS down FROM seq WHERE n BETWEEN 2 AND 15 GROUP BY company_id HAVING count(*) = 14
+  UNION ALL SELECT w.company_id, s.n, (w.atr * 13 + s.tr) / 14, (w.up * 13 + s.gain) / 14, (w.down * 13 + s.loss) / 14 FROM w JOIN seq s ON s.company_id = w.company_id AND s.n = w.n + 1)
+SELECT company_id, trading_date, round(atr, 4) AS atr, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 4) AS rsi, round((simple - atr) / atr * 100, 3) AS simple_delta_pct FROM w JOIN seq USING (company_id, n)""")
+def wilder_history(spark, sf_dir):
+    """Wilder's range and strength over whole histories, and by how much the simple 14-bar mean range differs; bars behind the seed."""
+    bars = a.bars(spark, sf_dir)
+    x = recurrence.whole_history(bars).where("atr IS NOT NULL")
+    simple = bars.withColumn("true_range", w.true_range()).withColumn("simple", w.atr(14)).select(*KEY, "simple")
+    x = x.join(simple, list(KEY)).withColumn("simple_delta_pct", (F.col("simple") - F.col("atr")) / F.col("atr") * 100)
+    return x.select(*KEY, F.round("atr", 4).alias("atr"), F.round("rsi", 4).alias("rsi"), F.round("simple_delta_pct", 3).alias("simple_delta_pct"))
