@@ -139,6 +139,29 @@ def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert sorted(r.component_id for r in jaccard_join.near_duplicates(rows).collect()) == [4, 4, 4]
 
 
+def test_rows_without_id_bridge_groups(spark):
+    """A links with B and B with C, but A not with C; B has no id."""
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = w[:50], w[4:54], w[8:58]
+    texts = [(1, a), (None, b), (2, c), (None, w[:3]), (None, w[:3]), (7, ["other"] * 9)]
+    rows = spark.createDataFrame([(i, " ".join(t), "clash") for i, t in texts], "doc_id long, text string, cls string")
+    out = sorted(((r.doc_id or 0, r.component_id) for r in jaccard_join.near_duplicates(rows).collect()), key=repr)
+    assert out == sorted([(1, 1), (0, 1), (2, 1), (0, None), (0, None), (7, 7)], key=repr)
+    apart = [(i, t) for i, t in texts if t is not b]
+    rows2 = spark.createDataFrame([(i, " ".join(t), "clash") for i, t in apart], "doc_id long, text string, cls string")
+    assert {r.component_id for r in jaccard_join.near_duplicates(rows2).where("doc_id < 3").collect()} == {1, 2}
+    kept = sorted(((r.doc_id, len(r.text.split())) for r in jaccard_join.keep_one_per_group(rows).collect()), key=repr)
+    assert kept == sorted([(1, 50), (None, 3), (7, 9)], key=repr)
+
+
+def test_each_text_of_a_repeated_id_is_judged(spark):
+    w = [f"w{i}" for i in range(60)]
+    texts = [(1, w[:50]), (5, w[1:51]), (5, ["fresh", "words"] * 5), (6, ["fresh", "words"] * 5), (8, []), (8, []), (None, []), (None, w[:50])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text[:5]) for r in jaccard_join.keep_one_per_group(rows).collect()), key=repr)
+    assert kept == sorted([(1, "w0 w1"), (5, "fresh"), (8, ""), (8, ""), (None, "")], key=repr)
+
+
 def test_one_of_each_group_stays(spark):
     texts = near_texts()
     kept = {r.doc_id for r in jaccard_join.keep_one_per_group(documents(spark, texts)).collect()}

@@ -29,8 +29,8 @@ compared. No step forms all pairs of a group.
 
 Edge cases: null, empty or blank texts have no n-grams, link with nothing and
 are their own component; a text of fewer words than ``n`` is one n-gram; a null
-``doc_id`` keeps its row, its component is that of its class, if any; repeated
-rows fall into one class; other columns are ignored; an empty table gives no rows.
+``doc_id`` keeps its row and links like any other, its component is the smallest
+id that links reach, null if they reach none; repeated rows fall into one class; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -515,8 +515,26 @@ def _link_groups(sets: DataFrame, percent: int) -> DataFrame:
 # --- the operator --------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for ``docs(doc_id, text)``."""
+def _classed(n_words: int):
+    """Rows with the class of their text; texts without n-grams have none."""
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "_utf8"):
+            cls = [_class_of(g) if len(g) else None for g in shingle_sets(texts, n_words)]
+            rows = batch.drop_columns(["_utf8"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cls, pa.int64())], [*rows.schema.names, "_cls"])
+
+    return classed
+
+
+def with_class(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
+    """``docs`` plus ``_cls``: equal sets of n-grams have equal classes; null without n-grams."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.withColumn("_utf8", utf8()).mapInArrow(_classed(n_words), f"{schema}, _cls long")
+
+
+def _grouped(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, cls, n`` and classes ``cls, rep, root``: the smallest id of a class (null if no row of it has one) and the class that names its group."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("utf8"))
     volume = texts.agg(F.sum(F.length("utf8"))).first()[0] or 0
     buckets = max(4, -(-int(volume * FIRST_TIER / 6) // BUCKET_ENTRIES))  # about six bytes to a word
@@ -529,22 +547,57 @@ def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERC
     stars = prefixes.groupBy("gram").agg(F.min("cls").alias("b"), F.max("cls").alias("high")).where("b < high").select("gram", "b")
     groups = connected(prefixes.join(stars, "gram").selectExpr("cls a", "b"))
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    candidates = materialise(groups.selectExpr("node cls", "root part").join(classes, "cls").where("rep IS NOT NULL").select("rep", "cls", "part"), "candidates")
+    candidates = materialise(groups.selectExpr("node cls", "root part").join(classes, "cls").select("rep", "cls", "part"), "candidates")
     few = candidates.count() * 24 <= BROADCAST_BYTES
     chosen = texts.join(F.broadcast(candidates) if few else candidates, texts.doc_id == candidates.rep).select("utf8", "cls", "part")
+    nameless = candidates.where("rep IS NULL").select("cls", "part")
+    if not nameless.isEmpty():  # classes that only rows without an id have: their texts are found by class
+        own = with_class(texts.where("doc_id IS NULL").select(F.col("utf8").alias("text")), n_words).withColumnRenamed("_cls", "cls")
+        once = own.join(F.broadcast(nameless) if few else nameless, "cls").groupBy("cls", "part").agg(F.any_value("text").alias("text"))
+        chosen = chosen.unionByName(once.select(F.col("text").alias("utf8"), "cls", "part"))
     sets = materialise(chosen.mapInArrow(_sets(n_words), "cls long, part long, grams binary"), "sets")
-    roots = classes.join(_link_groups(sets, percent), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    return rows, classes.join(_link_groups(sets, percent), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for ``docs(doc_id, text)``."""
+    rows, roots = _grouped(docs, n_words, percent)
     lowest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = roots.join(lowest, "root").select("cls", "component_id")
     return rows.join(named, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of ``docs`` that are their group's smallest id, with all their columns.
+    """One document of every group of ``docs``, that of the smallest id, with all its columns.
 
-    Rows without an id stay, and so do rows that repeat a kept id: they are the same document.
+    Rows that repeat a kept id and text are the same document and stay with it. A row without an id goes if its group has a
+    document with one; of a group without any id one row stays. Where an id has several texts, each text is judged for itself.
     """
-    groups = near_duplicates(docs, n_words, percent)
-    dropped = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    few = dropped.count() * 24 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    rows, roots = _grouped(docs, n_words, percent)
+    lowest = roots.groupBy("root").agg(F.min("rep").alias("lowest"), F.min("cls").alias("first"))
+    named = roots.join(lowest, "root").select("cls", "lowest", "first")
+    judged = rows.where("cls IS NOT NULL").join(named, "cls").select("doc_id", "cls", "lowest", "first", F.col("doc_id").eqNullSafe(F.col("lowest")).alias("stays"))
+    judged = materialise(judged.where("NOT stays OR doc_id IS NULL"), "judged")
+    dropped = judged.where("doc_id IS NOT NULL").select("doc_id", "cls").distinct()
+    # An id is dropped whole unless it has another text, which may stay.
+    texts = rows.join(dropped.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.count_distinct(F.coalesce("cls", F.lit(0))).alias("texts"))
+    texts = materialise(texts, "dropped")
+    plain, twice = texts.where("texts = 1").select("doc_id"), texts.where("texts > 1").select(F.col("doc_id").alias("_several"))
+    few = texts.count() * 24 <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(plain) if few else plain, docs.doc_id.cast("long") == plain.doc_id, "left_anti").select(*docs.columns)
+    nameless = judged.where("doc_id IS NULL")
+    if nameless.isEmpty() and twice.isEmpty():
+        return kept
+    # Rows whose id does not say which text it is are judged by class.
+    unsure = F.col("doc_id").isNull() | F.col("_several").isNotNull()
+    marked = kept.join(twice, kept.doc_id.cast("long") == F.col("_several"), "left")
+    sure = marked.where(~unsure).select(*docs.columns)
+    own = with_class(marked.where(unsure).select(*docs.columns), n_words)
+    own = own.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.struct(*docs.columns)}).select("_id", "_cls", "_row")
+    with_id = own.where("_id IS NOT NULL").join(dropped.toDF("_id", "_cls"), ["_id", "_cls"], "left_anti").select("_row.*")
+    without = own.where("_id IS NULL")
+    groups = nameless.select(F.col("cls").alias("_cls"), "lowest", "first").distinct()
+    once = without.join(groups.where("lowest IS NULL AND _cls = first").select("_cls"), "_cls")
+    once = once.groupBy("_cls").agg(F.any_value("_row").alias("_row")).select("_row.*")
+    wordless = without.where("_cls IS NULL").select("_row.*")
+    return sure.unionByName(with_id).unionByName(once).unionByName(wordless)
