@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, bar_windows, companies, fundamentals, histories, joins, mood, quality, research, scalars, screens, streams  # noqa: F401  (registration)
+from . import aggregates, bar_windows, companies, fundamentals, histories, joins, ledgers, mood, quality, research, scalars, screens, streams  # noqa: F401  (registration)
 from .registry import QUERIES, SQL, Query
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import adapters as a
-from ..streaming import radar
+from ..sources.stored import shared_folder
+from ..streaming import basket, radar
 from .registry import query
 
 
@@ -46,3 +47,39 @@ def bars_from_ticks(spark, sf_dir):
 def deduplicated(spark, sf_dir):
     t = a.quotes(spark, sf_dir)
     return radar.deduplicated(t.unionByName(t)).select("event_id", "symbol")
+
+
+#: Desks that watch, each with a basket of its own; an error event takes its symbol out.
+DESKS = 40
+
+
+def desk_quotes(events):
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % DESKS).alias("desk"), F.col("user_id").alias("symbol"), F.col("value").alias("price"), (F.col("event_type") == "error").alias("removes"))
+
+
+_BASKET = f"""WITH RECURSIVE q AS (SELECT event_id % {DESKS} AS desk, user_id AS symbol, ts, event_id, value AS price, event_type = 'error' AS removes, row_number() OVER (PARTITION BY event_id % {DESKS} ORDER BY ts, event_id) AS n FROM events),
+ w AS (SELECT DISTINCT desk, 0::BIGINT AS n, []::STRUCT(s BIGINT, t TIMESTAMP, p DOUBLE)[] AS held FROM q UNION ALL
+  SELECT w.desk, q.n, CASE WHEN removes THEN list_filter(held, lambda x: x.s <> symbol) WHEN list_contains(list_transform(held, lambda x: x.s), symbol) THEN list_transform(held, lambda x: CASE WHEN x.s = symbol THEN {{'s': symbol, 't': ts::TIMESTAMP, 'p': price}} ELSE x END)
+   WHEN len(held) >= 8 THEN list_append(held[2:], {{'s': symbol, 't': ts::TIMESTAMP, 'p': price}}) ELSE list_append(held, {{'s': symbol, 't': ts::TIMESTAMP, 'p': price}}) END FROM w JOIN q ON q.desk = w.desk AND q.n = w.n + 1),
+ f AS (SELECT desk, unnest(held) AS h FROM w QUALIFY row_number() OVER (PARTITION BY desk ORDER BY n DESC) = 1)
+SELECT desk, h.s AS symbol, h.t AS ts, h.p AS price, epoch_ms(h.t) + 1800000 > (SELECT epoch_ms(max(ts)::TIMESTAMP) - 600000 FROM events) AS usable FROM f"""
+
+
+@query("R2_baskets", _BASKET)
+def baskets(spark, sf_dir):
+    """Runs the stateful stream over all events and returns what the desks' baskets hold, and what has not turned stale."""
+    basket.configure(spark)
+    schema = a.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, since the table may be one file
+    return basket.baskets(basket.run_to_end(basket.basket_changes(desk_quotes(events)), shared_folder(spark, "radar")))
+
+
+@query("R6_usable", "WITH l AS (SELECT user_id AS symbol, max(ts)::TIMESTAMP AS ts, arg_max(value, (ts, event_id)) AS price FROM events GROUP BY 1), n AS (SELECT max(ts)::TIMESTAMP AS now FROM events) SELECT symbol, price, round(date_diff('second', date_trunc('second', ts), date_trunc('second', now)) / 60.0, 0) AS age_minutes, epoch(now) - epoch(ts) <= 1800 AS usable FROM l, n")
+def usable(spark, sf_dir):
+    """Newest quote of every symbol, its age at the newest event of all, and whether it may still be served."""
+    t = a.quotes(spark, sf_dir)
+    now = t.agg(F.max("ts").alias("now"))
+    x = radar.latest_per_symbol(t).crossJoin(F.broadcast(now))  # one row
+    age = (F.unix_timestamp("now") - F.unix_timestamp("ts")) / 60
+    fresh = F.unix_micros("now") - F.unix_micros("ts") <= radar.STALE_MINUTES * 60_000_000
+    return x.select("symbol", "price", F.round(age, 0).alias("age_minutes"), fresh.alias("usable"))
