@@ -1,9 +1,9 @@
 """The point-in-time feature vector: what was known of a company at a date.
 
-Statements are read as of the date, one vintage a period; a date meets the
-statements of a bounded number of years, so that candidates do not grow with a
-company's history. Periods are numbered, cadence is found and sums are taken
-within one partitioning by company and date. Missing inputs stay missing.
+Statements and dates lie on one timeline that carries the newest vintage of the
+newest periods; bars and dates lie on another that carries the last bar. No date
+meets candidates. Cadence is found and sums are taken within one partitioning
+by company and date. Missing inputs stay missing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import pit
+from . import timeline
 from . import windows as w
 
 c = F.col
@@ -28,12 +28,16 @@ def newest_statements(statements: DataFrame, dates: DataFrame, period_type: str,
 
     ``strict``: only vintages whose system time ``[rec_start, rec_end)`` holds t0.
     """
+    values = [k for k in statements.columns if k not in ("company_id", "period_end", "period_type")]
+    bounded = F.year("period_end") >= F.year("t0") - YEARS[period_type]
+    if not strict:
+        x = timeline.carried_periods(statements, dates.select("company_id", "t0"), period_type, limit)
+        x = x.select("company_id", "t0", F.posexplode("periods").alias("age", "p"))
+        return x.select("company_id", "t0", "p.period_end", (c("age") + 1).alias("age"), *(c(f"p.{k}").alias(k) for k in values)).where(bounded)
+    # Two times do not lie on one line: here a date meets the statements of its years.
     rows = statements.where(c("period_type") == period_type).withColumn("y", F.year("period_end"))
     wanted = dates.select("company_id", "t0").withColumn("y", F.explode(F.sequence(F.year("t0") - YEARS[period_type], F.year("t0"))))
-    seen = wanted.join(rows, ["company_id", "y"]).where("published <= t0")
-    if strict:
-        seen = seen.where("rec_start <= t0 AND t0 < rec_end")
-    values = [k for k in statements.columns if k not in ("company_id", "period_end", "period_type")]
+    seen = wanted.join(rows, ["company_id", "y"]).where("published <= t0 AND rec_start <= t0 AND t0 < rec_end")
     latest = seen.groupBy("company_id", "t0", "period_end").agg(F.max_by(F.struct(*values), F.struct("published", "vintage")).alias("v"))
     age = F.row_number().over(Window.partitionBy("company_id", "t0").orderBy(c("period_end").desc()))
     return latest.withColumn("age", age).where(c("age") <= limit).select("company_id", "t0", "period_end", "age", "v.*")
@@ -124,42 +128,23 @@ def fundamentals(statements: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def technicals(bars: DataFrame, dates: DataFrame) -> DataFrame:
-    """Indicators of the last session at or before each date: an as-of read, then an equi-join with the bars' windows."""
-    points = pit.price_as_of(dates.select("company_id", "t0"), bars, "t0").where("price_date IS NOT NULL").select("company_id", "t0", c("price_date").alias("trading_date"))
+    """Indicators of the last session at or before each date: windows over the bars, then bars and dates on one timeline that carries the last bar on."""
     by = w.last_bars
-    x = bars.withColumn("true_range", w.true_range()).withColumns({
-        "bars": F.row_number().over(w.sessions()), "sma20": w.sma(20), "sma50": w.sma(50), "sma200": w.sma(200), "atr": w.atr(14), "high_52w": F.max("high").over(by(w.YEAR_BARS)), "low_52w": F.min("low").over(by(w.YEAR_BARS)),
-        "vol20": F.avg("volume").over(by(20)), "vol50": F.when(F.row_number().over(w.sessions()) >= 50, F.avg("volume").over(by(50))), "prev_close": F.lag("close").over(w.sessions()),
+    x = w.extremes(w.wilder_rsi(bars), w.YEAR_BARS, high_52w=("max", "high"), low_52w=("min", "low")).withColumn("true_range", w.true_range()).withColumns({
+        "bars": F.row_number().over(w.sessions()), "sma20": w.sma(20), "sma50": w.sma(50), "sma200": w.sma(200), "atr": w.atr(14), "vol20": F.avg("volume").over(by(20)), "vol50": F.when(F.row_number().over(w.sessions()) >= 50, F.avg("volume").over(by(50))), "prev_close": F.lag("close").over(w.sessions()),
     })
-    x = points.join(x, ["company_id", "trading_date"])
-    return x.where("bars >= 20").join(rsi_at(bars, points), ["company_id", "t0"], "left").select(
+    seen = ("trading_date", "bars", "close", "prev_close", "volume", "vol20", "vol50", "sma20", "sma50", "sma200", "rsi", "atr", "high_52w", "low_52w")
+    rows = x.select("company_id", c("trading_date").alias("at"), F.struct(*seen).alias("bar"), F.lit(None).cast("date").alias("t0"))
+    marks = dates.select("company_id", c("t0").alias("at"), F.lit(None).cast(dict(rows.dtypes)["bar"]).alias("bar"), "t0")
+    to_here = Window.partitionBy("company_id").orderBy("at", c("t0").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.unionByName(marks).withColumn("bar", F.last("bar", ignorenulls=True).over(to_here)).where("t0 IS NOT NULL").select("company_id", "t0", "bar.*")
+    return x.where("bars >= 20").select(
         "company_id", "t0", "trading_date", "bars", "close", "prev_close", "volume", "vol20", "sma20", "sma50", "sma200", *(((c("close") - c(f"sma{k}")) / c(f"sma{k}") * 100).alias(f"dist_sma{k}") for k in (20, 50, 200)),
         "rsi", "atr", (c("atr") / c("close") * 100).alias("atr_pct"), "high_52w", "low_52w", ((c("close") - c("high_52w")) / c("high_52w") * 100).alias("dist_high"),
         ((c("close") - c("low_52w")) / c("low_52w") * 100).alias("dist_low"), F.when(F.coalesce(c("vol50"), c("vol20")) > 0, c("vol20") / F.coalesce(c("vol50"), c("vol20"))).otherwise(1.0).alias("volume_acceleration"),
     )
 
 
-def rsi_at(bars: DataFrame, points: DataFrame, period: int = 14, days: int = 400) -> DataFrame:
-    """Wilder's relative strength at given sessions only, begun at the first bar of the calendar slice.
-
-    Smoothing is linear, so the fold is a weighted sum: the seed and every later
-    change count with a power of 13/14. Points meet the bars of their slice by
-    company and year.
-    """
-    span = points.withColumn("y", F.explode(F.sequence(F.year("trading_date") - 2, F.year("trading_date"))))
-    b = bars.select("company_id", c("trading_date").alias("day"), "close", F.year("trading_date").alias("y"))
-    x = span.join(b, ["company_id", "y"]).where(F.datediff("trading_date", "day").between(0, days))
-    order = Window.partitionBy("company_id", "t0").orderBy("day")
-    x = x.withColumns({"i": F.row_number().over(order) - 1, "change": c("close") - F.lag("close").over(order)})
-    x = x.withColumn("n", F.max("i").over(Window.partitionBy("company_id", "t0"))).where("i > 0")
-    keep = (period - 1) / period
-    seed = F.pow(F.lit(keep), F.greatest(c("n") - period, F.lit(0))) / period
-    weight = F.when(c("i") <= period, seed).otherwise(F.pow(F.lit(keep), c("n") - c("i")) / period)
-    x = x.groupBy("company_id", "t0").agg(F.max("n").alias("n"), F.sum(weight * F.greatest(c("change"), F.lit(0.0))).alias("gain"), F.sum(weight * F.greatest(-c("change"), F.lit(0.0))).alias("loss"))
-    rsi = F.when(c("n") < period, 50.0).when(c("loss") == 0, F.when(c("gain") == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + c("gain") / c("loss")))
-    return x.select("company_id", "t0", rsi.alias("rsi"))
-
-
 def feature_vector(statements: DataFrame, bars: DataFrame, dates: DataFrame) -> DataFrame:
     """All features of every (company, t0): statements, technicals, and ratios of both."""
     x = fundamentals(statements, dates).join(technicals(bars, dates), ["company_id", "t0"], "left")

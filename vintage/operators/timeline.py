@@ -27,11 +27,14 @@ def carried_periods(statements: DataFrame, dates: DataFrame, period_type: str, l
     kind = dict(events.dtypes)["v"]
     marks = dates.select("company_id", c("t0").alias("at"), F.lit(None).cast(kind).alias("v"), "t0")
     seen = Window.partitionBy("company_id").orderBy("at", c("t0").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)  # what is published on the day is known on the day
-    slots = {f"slot{k}": F.max(F.when(c("v.number") % ring == k, c("v"))).over(seen) for k in range(ring)}
+    newer = F.struct("v.number", "v.published", "v.vintage")
+    slots = {f"slot{k}": F.max_by("v", F.when(c("v.number") % ring == k, newer)).over(seen) for k in range(ring)}
     x = events.unionByName(marks).withColumns(slots).where("t0 IS NOT NULL")
-    x = x.select("company_id", "t0", F.sort_array(F.array_compact(F.array(*slots)), asc=False).alias("held"))
-    newest = F.get("held", F.lit(0))["number"]
-    return x.select("company_id", "t0", F.slice(F.filter("held", lambda p: p["number"] > newest - ring), 1, limit).alias("periods"))
+    # By number, which is its place behind the newest: slots in turn need no sort.
+    newest = F.greatest(*(c(f"slot{k}.number") for k in range(ring)))
+    x = x.withColumn("newest", newest).withColumn("held", F.array(*slots))
+    back = F.transform(F.sequence(F.lit(0), F.lit(ring - 1)), lambda i: F.get("held", F.pmod(c("newest") - i, F.lit(ring))))
+    return x.select("company_id", "t0", F.slice(F.filter(back, lambda p: p["number"] > c("newest") - ring), 1, limit).alias("periods"))
 
 
 def nearest_within(wanted: DataFrame, known: DataFrame, want: str, at: str, days: int, preceding_only: bool = True) -> DataFrame:

@@ -56,7 +56,7 @@ def wilder_rsi(spark, sf_dir):
 @query("W4_year_range", f"""WITH {BARS} SELECT company_id, trading_date, round(max(high) OVER {over(252)}, 6) AS high_252, round(min(low) OVER {over(252)}, 6) AS low_252,
   round((close - max(close) OVER {over(250)}) / max(close) OVER {over(250)} * 100, 6) AS dist_high FROM bars""")
 def year_range(spark, sf_dir):
-    out = a.bars(spark, sf_dir).withColumns({"high_252": w.year_high(), "low_252": w.year_low(), "top": F.max("close").over(w.last_bars(250))})
+    out = w.extremes(w.extremes(a.bars(spark, sf_dir), w.YEAR_BARS, high_252=("max", "high"), low_252=("min", "low")), w.YEAR_CLOSES, top=("max", "close"))
     return rounded(out.withColumn("dist_high", w.pct_from(F.col("top"))), "high_252", "low_252", "dist_high", digits=6)
 
 

@@ -22,10 +22,10 @@ NUMBERS = (
 )
 
 
-def vector(spark, sf_dir):
-    rows = stored(s.statements(spark, sf_dir), "statements")
-    dates = stored(s.reading_dates(rows), "dates")
-    return features.feature_vector(rows, stored(s.listed_bars(spark, sf_dir), "bars"), dates)
+def vector(spark, sf_dir, split=1):
+    """The feature vector of every company and date; ``split``: so many companies for each of the 25."""
+    rows = stored(s.statements(spark, sf_dir, split), "statements")  # quarters, years and dates are read from it
+    return features.feature_vector(rows, s.listed_bars(spark, sf_dir, split), s.reading_dates(rows))
 
 
 def _rounded(x, names, digits=4):

@@ -104,7 +104,7 @@ _FEEDS = "concat_ws(',', CASE WHEN thesis = 'CONVICTION_BUY' THEN 'LONG_TERM' EN
 def panel(spark, sf_dir):
     """The screen's inputs, written once: evaluation, synthesis and routing are projections of it."""
     rows = stored(s.statements(spark, sf_dir), "statements")
-    dates = stored(s.reading_dates(rows), "dates")
+    dates = s.reading_dates(rows)
     bars = stored(s.listed_bars(spark, sf_dir), "bars")
     names = F.create_map(*(F.lit(x) for kv in INDUSTRIES.items() for x in kv))
     industries = sectors(spark, sf_dir).withColumn("industry", names[c("sector")])

@@ -20,23 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _priced_lines(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
+    """Shipments with their brand as company; ``split``: so many companies a brand, by supplier."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     lines = table(spark, sf_dir, "lineitem")
     return lines.join(part, lines.l_partkey == part.p_partkey).select(
-        F.col("p_brand").alias("company_id"), F.to_date("l_shipdate").alias("trading_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"),
+        (F.col("p_brand") if split == 1 else F.concat("p_brand", F.lit("."), F.col("l_suppkey") % split)).alias("company_id"), F.to_date("l_shipdate").alias("trading_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("u"),
         "l_quantity", "l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"),
     )
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bars(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
     """Daily bars ``company_id, trading_date, open, high, low, close, volume``: unit prices of a brand's shipments of a day."""
-    return _priced_lines(spark, sf_dir).groupBy("company_id", "trading_date").agg(
+    return _priced_lines(spark, sf_dir, split).groupBy("company_id", "trading_date").agg(
         F.min_by("u", "at").alias("open"), F.max("u").alias("high"), F.min("u").alias("low"), F.max_by("u", "at").alias("close"), F.sum("l_quantity").alias("volume")
     )
 
 
-def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calm_bars(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
     """Bars as a stock moves from day to day, for setups and trades: means of 40 raw closes, with the raw bar's shape as a narrow range around them.
 
     Raw unit prices of a day's shipments jump by more than any entry gate allows.
@@ -44,7 +45,7 @@ def calm_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("company_id").orderBy("trading_date")
     mean = F.avg("close").over(by.rowsBetween(-39, 0))
     place = F.coalesce((F.col("close") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")), F.lit(0.47))
-    x = bars(spark, sf_dir).withColumns({"c": mean, "place": place})
+    x = bars(spark, sf_dir, split).withColumns({"c": mean, "place": place})
     return x.select(
         "company_id", "trading_date", F.coalesce(F.lag("c").over(by), F.col("c")).alias("before"), (F.col("c") * (1.004 + 0.008 * F.col("place"))).alias("high"), (F.col("c") * (0.988 + 0.008 * F.col("place"))).alias("low"),
         F.col("c").alias("close"), "volume",

@@ -52,10 +52,12 @@ STATEMENTS = f"""{CELLS}, whole AS (
 DATES = "dates AS (SELECT DISTINCT company_id, CAST(period_end + INTERVAL 75 DAY AS DATE) AS t0 FROM statements)"
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly and annual statements with their vintages and dates of publication; amounts in crore, shares in units."""
+def statements(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
+    """Quarterly and annual statements with their vintages and dates of publication; amounts in crore, shares in units. ``split``: so many companies a nation, by customer."""
     names = ("lineitem", "orders", "customer")
     text = f"WITH {STATEMENTS} SELECT * FROM statements"
+    if split > 1:
+        text = text.replace("CAST(c_nationkey AS INT) AS nation", f"CAST(c_nationkey * {split} + c_custkey % {split} AS INT) AS nation")
     for n in names:
         text = text.replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
     return spark.sql(text, **{n: adapters.table(spark, sf_dir, n) for n in names})
@@ -65,10 +67,11 @@ def reading_dates(rows: DataFrame) -> DataFrame:
     return rows.select("company_id", F.date_add("period_end", 75).alias("t0")).distinct()
 
 
-def listed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars of the same companies: the n-th brand stands for the n-th nation."""
+def listed_bars(spark: SparkSession, sf_dir: str, split: int = 1) -> DataFrame:
+    """Daily bars of the same companies: the n-th brand stands for the n-th nation, and so do their parts."""
     brand = F.regexp_extract("company_id", "[0-9]+", 0).cast("int") - 1
-    return adapters.calm_bars(spark, sf_dir).withColumn("company_id", brand.cast("string"))
+    part = F.regexp_extract("company_id", "[.]([0-9]+)", 1).cast("int") if split > 1 else F.lit(0)
+    return adapters.calm_bars(spark, sf_dir, split).withColumn("company_id", (brand * split + part).cast("string"))
 
 
 LISTED = "listed AS (SELECT CAST(CAST(regexp_extract(company_id, '[0-9]+') AS INT) - 1 AS VARCHAR) AS company_id, trading_date, open, high, low, close, volume FROM bars)"
