@@ -47,6 +47,8 @@ def tables():
 VALUES = (
     "near_high_screen", "J1_bitemporal_as_of", "A19_breadth", "W33_trend_template", "J1_strict_system_time", "M1_feature_vector", "M4_longterm", "M5_swing", "M13_valuation_regime", "F24_latent_upside", "F27_lifecycle",
     "W22_dso_derivatives", "W24_incremental_roic", "W25_roic_momentum", "A20_mood_index", "T6_scan_rank", "W3_wilder_rsi", "F6_event_parser", "F7_filing_class", "F38_regime", "P4_predicates", "U4_metamorphic",
+    "W12_drawdown", "W14_first_passage", "W16_path_vector", "W36_wilder_history", "W4_year_range", "W20_acceleration_vector", "M23_historical_replay", "A27_replay_eligibility", "J16_substring_lookup", "J16_theme_of_text", "F25_market_of_segment",
+    "J23_nearest_preceding", "J23_nearest_either_side", "R2_baskets", "R6_usable", "S22_bar_merge", "S14_truth_log", "M20_staged_screen", "F30_missing_data_guard", "M10_continuation_verdicts", "A14_tournament_top5", "U4_future_blind", "M27_barrier_labels",
 )
 
 

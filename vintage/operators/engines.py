@@ -165,7 +165,7 @@ def displacement(growth: Column, industry: Column, unorganised: Column) -> tuple
 
 
 def incremental_roic(x: DataFrame, lookbacks: tuple[int, ...] = (4, 8, 12), least_pct: float = 0.05) -> DataFrame:
-    """Change of operating profit after tax over change of invested capital against 4, 8 and 12 periods before (or the first), and what the longest says; columns ``company_id, period_end, nopat, capital, roic``."""
+    """Change of operating profit after tax over change of invested capital against 4, 8 and 12 quarters before (or the first), and what the longest says; columns ``company_id, period_end, nopat, capital, roic``, one row a quarter, profit and return of a year."""
     by = Window.partitionBy("company_id").orderBy("period_end")
 
     def before(name: str, k: int) -> Column:
@@ -203,7 +203,7 @@ def mood_index(x: DataFrame) -> DataFrame:
     volatility = F.coalesce(f.clamp(100 - (c("vix") - 10) * 7, 0.0, 100.0) * F.when(c("vix").isNotNull(), 1.0), F.lit(50.0))
     spread, flow = f.clamp(50 + c("spread") * 25, 0.0, 100.0), f.clamp(50 + c("net_flow") / 50, 0.0, 100.0)
     five = c("long_pct") * 0.25 + breadth * 0.25 + volatility * 0.20 + spread * 0.15 + flow * 0.15
-    x = x.withColumn("mood", F.round(F.coalesce(five, breadth * 0.35 + volatility * 0.30 + spread * 0.20 + flow * 0.15), 1))
+    x = x.withColumn("exact", F.coalesce(five, breadth * 0.35 + volatility * 0.30 + spread * 0.20 + flow * 0.15)).withColumn("mood", F.round("exact", 1))
     regime = F.when((c("mood") >= 68) & c("expanding"), "BULLISH_EXPANSION").when(c("mood") >= 48, "SELECTIVE_ROTATION").when(c("mood") >= 32, "DEFENSIVE_CONSOLIDATION").otherwise("RISK_OFF_CAPITAL_PRESERVATION")
     budget = F.when(c("regime") == "BULLISH_EXPANSION", 100.0).when(c("regime") == "SELECTIVE_ROTATION", 75.0).when(c("regime") == "DEFENSIVE_CONSOLIDATION", 50.0).otherwise(25.0)
     return x.withColumn("regime", regime).withColumns({"risk_budget": budget, "coiled": F.coalesce(c("long_pct") < 20, F.lit(False))})

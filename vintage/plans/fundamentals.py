@@ -226,18 +226,31 @@ def _capital(spark, sf_dir):
     return x.select("company_id", "period_end", "nopat", "capital", (c("nopat") / c("capital") * 400).alias("roic"))
 
 
-@query("W24_incremental_roic", f"""WITH {_CAPITAL}, b AS (SELECT *, row_number() OVER k AS n, {', '.join(f"coalesce(lag(nopat, {i}) OVER k, first(nopat) OVER k) AS n{i}, coalesce(lag(capital, {i}) OVER k, first(capital) OVER k) AS c{i}" for i in (4, 8, 12))} FROM p WINDOW k AS (PARTITION BY company_id ORDER BY period_end)),
+_TRAILING = f"""{_ONCE}, y AS (SELECT company_id, period_end, CASE WHEN count(*) OVER k4 = 4 THEN sum(ebit * (1 - tax_rate)) OVER k4 END AS nopat, last_value(net_worth + total_debt - cash IGNORE NULLS) OVER k AS capital
+  FROM statements WHERE period_type = 'QUARTERLY' AND vintage = 0 WINDOW k AS (PARTITION BY company_id ORDER BY period_end), k4 AS (PARTITION BY company_id ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+ p AS (SELECT *, nopat / capital * 100 AS roic FROM y WHERE nopat IS NOT NULL AND capital IS NOT NULL)"""
+
+
+def _trailing(spark, sf_dir):
+    """Every quarter with four quarters of operating profit after tax, and the invested capital of the newest balance sheet: all rates are annual, lags count quarters."""
+    by = Window.partitionBy("company_id").orderBy("period_end")
+    four, taxed = by.rowsBetween(-3, 0), c("ebit") * (1 - c("tax_rate"))
+    x = _originals(spark, sf_dir).select("company_id", "period_end", F.when(F.count("*").over(four) == 4, F.sum(taxed).over(four)).alias("nopat"), F.last(c("net_worth") + c("total_debt") - c("cash"), ignorenulls=True).over(by).alias("capital"))
+    return x.where("nopat IS NOT NULL AND capital IS NOT NULL").withColumn("roic", c("nopat") / c("capital") * 100)
+
+
+@query("W24_incremental_roic", f"""WITH {_TRAILING}, b AS (SELECT *, row_number() OVER k AS n, {', '.join(f"coalesce(lag(nopat, {i}) OVER k, first(nopat) OVER k) AS n{i}, coalesce(lag(capital, {i}) OVER k, first(capital) OVER k) AS c{i}" for i in (4, 8, 12))} FROM p WINDOW k AS (PARTITION BY company_id ORDER BY period_end)),
  r AS (SELECT *, {', '.join(f"CASE WHEN n > 1 AND abs(capital - c{i}) >= greatest(5, c{i} * 0.05) THEN round((nopat - n{i}) / (capital - c{i}) * 100, 2) END AS roiic{i}" for i in (4, 8, 12))} FROM b)
 SELECT company_id, period_end, roiic4, roiic8, roiic12, round((capital - c12) / greatest(1, c12) * 100, 4) AS deployment, CASE WHEN n = 1 THEN 'INSUFFICIENT_HISTORY' WHEN abs(capital - c12) < greatest(5, c12 * 0.05) THEN 'CAPITAL_UNCHANGED_ASSET_LIGHT' WHEN capital < c12 AND nopat > n12 THEN 'CAPITAL_EXTRACTION_EFFICIENCY' WHEN capital < c12 THEN 'BUSINESS_CONTRACTION'
  WHEN roiic12 > roic AND roiic12 > 20 THEN 'ACCELERATING_CAPITAL_EFFICIENCY' WHEN roiic12 >= 15 THEN 'HEALTHY_COMPOUNDER' WHEN roiic12 > 0 THEN 'DILUTIVE_GROWTH' ELSE 'VALUE_DESTRUCTION' END AS status FROM r""")
 def incremental_roic(spark, sf_dir):
-    return engines.incremental_roic(_capital(spark, sf_dir)).select("company_id", "period_end", "roiic4", "roiic8", "roiic12", F.round("deployment", 4).alias("deployment"), "status")
+    return engines.incremental_roic(_trailing(spark, sf_dir)).select("company_id", "period_end", "roiic4", "roiic8", "roiic12", F.round("deployment", 4).alias("deployment"), "status")
 
 
-@query("W25_roic_momentum", f"""WITH {_CAPITAL}, b AS (SELECT *, row_number() OVER k AS n, round(roic - coalesce(lag(roic, 4) OVER k, first(roic) OVER k), 2) AS delta4, round(roic - coalesce(lag(roic, 8) OVER k, first(roic) OVER k), 2) AS delta8 FROM p WINDOW k AS (PARTITION BY company_id ORDER BY period_end))
+@query("W25_roic_momentum", f"""WITH {_TRAILING}, b AS (SELECT *, row_number() OVER k AS n, round(roic - coalesce(lag(roic, 4) OVER k, first(roic) OVER k), 2) AS delta4, round(roic - coalesce(lag(roic, 8) OVER k, first(roic) OVER k), 2) AS delta8 FROM p WINDOW k AS (PARTITION BY company_id ORDER BY period_end))
 SELECT company_id, period_end, round(roic, 4) AS roic, delta4, delta8, CASE WHEN n < 2 THEN 'FLAT_OR_INSUFFICIENT_DATA' WHEN delta4 >= 5 AND delta8 >= 8 THEN 'POWERFUL_ROIC_EXPANSION' WHEN delta4 > 1.5 THEN 'STEADY_ROIC_IMPROVEMENT' WHEN delta4 < -3 THEN 'DETERIORATING_CAPITAL_EFFICIENCY' ELSE 'STABLE_PLATEAU' END AS profile FROM b""")
 def roic_momentum(spark, sf_dir):
-    return engines.roic_momentum(_capital(spark, sf_dir)).select("company_id", "period_end", F.round("roic", 4).alias("roic"), "delta4", "delta8", "profile")
+    return engines.roic_momentum(_trailing(spark, sf_dir)).select("company_id", "period_end", F.round("roic", 4).alias("roic"), "delta4", "delta8", "profile")
 
 
 @query("W23_incremental_capital", f"""WITH {_CAPITAL}, d AS (SELECT *, capital - lag(capital) OVER k AS dc, nopat - lag(nopat) OVER k AS dn FROM p WINDOW k AS (PARTITION BY company_id ORDER BY period_end))

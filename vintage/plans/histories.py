@@ -186,3 +186,27 @@ def replay_eligibility(spark, sf_dir):
     rows = s.statements(spark, sf_dir)
     dates = replay.reading_dates(rows)
     return replay.eligibility(rows, timeline.carried_periods(rows, dates, "QUARTERLY", 8).where(F.size("periods") > 0))
+
+
+# --- nothing from the future ---------------------------------------------------------------
+
+T0 = "2000-06-30"
+
+
+@query("U4_future_blind", f"""WITH {CALM}, {s.LISTED}, k AS (SELECT *, row_number() OVER o AS n, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr FROM listed WHERE trading_date <= DATE '{T0}' WINDOW o AS (PARTITION BY company_id ORDER BY trading_date)),
+ m AS (SELECT company_id, trading_date, n, close, avg(close) OVER (PARTITION BY company_id ORDER BY trading_date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sma50, avg(tr) OVER (PARTITION BY company_id ORDER BY trading_date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr, max(high) OVER (PARTITION BY company_id ORDER BY trading_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS high_52w FROM k)
+SELECT company_id, trading_date, round(close, 5) AS close, round(CASE WHEN n >= 50 THEN sma50 END, 5) AS sma50, round(atr, 5) AS atr, round(high_52w, 5) AS high_52w, CAST(0 AS BIGINT) AS differ FROM m WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY trading_date DESC) = 1""")
+def future_blind(spark, sf_dir):
+    """Technical features at a date, computed while every later bar is poisoned and strange companies are added; ``differ`` counts those that the poison moves. The SQL has never seen a later bar."""
+    from ..operators import features
+
+    bars = stored(s.listed_bars(spark, sf_dir), "bars")
+    late = c("trading_date") > F.lit(T0).cast("date")
+    poisoned = bars.withColumns({k: F.when(late, c(k) * 1000 + 7).otherwise(c(k)) for k in ("open", "high", "low", "close", "volume")})
+    more = poisoned.unionByName(bars.withColumn("company_id", F.concat(F.lit("poison "), "company_id"))).unionByName(bars.where(late).withColumn("trading_date", F.date_add("trading_date", 5000)))
+    dates = bars.select("company_id").distinct().withColumn("t0", F.lit(T0).cast("date"))
+    clean, seen = features.technicals(bars.where(~late), dates), features.technicals(more, dates)
+    names = [k for k in clean.columns if k not in ("company_id", "t0")]
+    both = seen.join(clean.select("company_id", *(c(k).alias(f"clean_{k}") for k in names)), "company_id")
+    differ = sum(((~c(k).eqNullSafe(c(f"clean_{k}"))).cast("long") for k in names), F.lit(0).cast("long"))
+    return both.select("company_id", "trading_date", *(F.round(k, 5).alias(k) for k in ("close", "sma50", "atr", "high_52w")), differ.alias("differ"))

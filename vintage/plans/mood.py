@@ -23,7 +23,7 @@ _SESSIONS = f"""{BARS}, m AS (SELECT *, close > lag(close) OVER ({W}) AS up, lag
 
 
 @query("A20_mood_index", f"""WITH {_SESSIONS}, r AS (SELECT *, CASE WHEN mood >= 68 AND expanding THEN 'BULLISH_EXPANSION' WHEN mood >= 48 THEN 'SELECTIVE_ROTATION' WHEN mood >= 32 THEN 'DEFENSIVE_CONSOLIDATION' ELSE 'RISK_OFF_CAPITAL_PRESERVATION' END AS regime FROM z)
-SELECT trading_date, regime, CASE regime WHEN 'BULLISH_EXPANSION' THEN 100.0 WHEN 'SELECTIVE_ROTATION' THEN 75.0 WHEN 'DEFENSIVE_CONSOLIDATION' THEN 50.0 ELSE 25.0 END AS risk_budget, coalesce(long_pct < 20, false) AS coiled, round(b, 4) AS breadth FROM r""")
+SELECT trading_date, regime, CASE regime WHEN 'BULLISH_EXPANSION' THEN 100.0 WHEN 'SELECTIVE_ROTATION' THEN 75.0 WHEN 'DEFENSIVE_CONSOLIDATION' THEN 50.0 ELSE 25.0 END AS risk_budget, coalesce(long_pct < 20, false) AS coiled, round(b, 4) AS breadth, round(exact, 6) AS mood FROM r""")
 def mood_index(spark, sf_dir):
     """Mood, regime and risk budget of every session: breadth, new highs, spread of prices, tide and volume flow; positioning is missing on every third date."""
     bars = a.bars(spark, sf_dir).withColumns({"pc": F.lag("close").over(w.sessions()), "top": c("close") >= F.max("high").over(w.last_bars(w.YEAR_BARS)), "bottom": c("close") <= F.min("low").over(w.last_bars(w.YEAR_BARS))})
@@ -35,7 +35,7 @@ def mood_index(spark, sf_dir):
     stamp = F.year("trading_date") * 400 + F.month("trading_date") * 31 + F.dayofmonth("trading_date")
     x = engines.mood_index(s.withColumn("long_pct", F.when(stamp % 3 != 0, 5.0 + stamp % 80)))
     breadth = F.least(F.lit(100.0), F.greatest(F.lit(0.0), c("advancing_pct") * 0.7 + F.least(F.lit(50), F.greatest(F.lit(-50), c("net_new_highs"))) * 0.6))
-    return x.select("trading_date", "regime", "risk_budget", "coiled", F.round(breadth, 4).alias("breadth"))
+    return x.select("trading_date", "regime", "risk_budget", "coiled", F.round(breadth, 4).alias("breadth"), F.round("exact", 6).alias("mood"))
 
 
 @query("T6_scan_rank", f"""WITH {BARS}, b AS (SELECT *, avg(close) OVER {over(50)} AS mean50, avg(close) OVER {over(200)} AS mean200, max(high) OVER {over(252)} AS high_52w, volume / avg(volume) OVER {over(20)} AS rvol, row_number() OVER (PARTITION BY company_id ORDER BY trading_date DESC) AS back, CAST(regexp_extract(company_id, '[0-9]+') AS INT) AS k FROM bars),
