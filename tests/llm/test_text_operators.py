@@ -217,8 +217,11 @@ def test_benchmark_windows(spark):
     for size in (1 << 20, 100):  # one broadcast group, several groups
         found = decontamination.contamination_report(decontamination.find_benchmark(documents(spark, texts), bench, group_bytes=size))
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in found.collect()} == want
-    clean = {r.doc_id for r in decontamination.drop_contaminated(documents(spark, texts), bench).collect()}
-    assert clean == {d for d, v in want.items() if not v[1]}
+        clean = [r.doc_id for r in decontamination.drop_contaminated(documents(spark, [*texts, None]), bench, group_bytes=size).collect()]
+        assert sorted(clean) == sorted([d for d, v in want.items() if not v[1]] + [len(texts)])
+    twice = spark.createDataFrame([(None, texts[3]), (5, texts[3]), (5, "clean"), (5, texts[3])], "doc_id long, text string")  # rows without an id, and two texts of one id
+    assert [tuple(r) for r in decontamination.drop_contaminated(twice, bench, group_bytes=100).collect()] == [(5, "clean")]
+    assert sorted(r.n_hit for r in decontamination.contamination_report(decontamination.find_benchmark(twice, bench, group_bytes=100)).collect()) == [0, *[want[3][1]] * 3]
 
 
 def base_spans(text):

@@ -6,8 +6,9 @@ shift table says for a block of two words how far the search may jump, a block
 that ends no window never stops it, the bucket of a stopping block lists windows
 to compare word for word. A word outside the vocabulary lets the search jump by
 a whole window. The scan is a narrow map over documents; benchmark texts reach
-workers in broadcast groups of bounded size, one map per group, each adding to
-the spans found so far, so that a benchmark of any size works.
+workers in broadcast groups of bounded size, one map per group. Groups behind the
+first leave only their hits, which are joined by id and digest of the text, so
+that a benchmark of any size works and no text is written.
 
 Edge cases: null or wordless texts have no words and no hits; null or wordless
 items have no windows; a null ``item_id`` is ignored; repeated documents are
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, remembered, slices, utf8
@@ -109,21 +111,16 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 Search = Callable[[], tuple[dict[bytes, int], list[WuManber]]]
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, group_bytes: int, scan: Callable, schema) -> DataFrame:
-    """``docs`` mapped by ``scan(search)`` for every group of the benchmark."""
-    context, out, before = docs.sparkSession.sparkContext, docs, None
+def _searches(docs: DataFrame, benchmark: DataFrame, window: int, group_bytes: int) -> Iterator[Search]:
+    """One search per group of the benchmark, in a broadcast that workers build once."""
     for group in benchmark_groups(benchmark, group_bytes):
-        if before:
-            out = materialise(out, "benchmark-pass")
-            before.unpersist()
-        before, key = context.broadcast(group), uuid.uuid4().hex
+        sent, key = docs.sparkSession.sparkContext.broadcast(group), uuid.uuid4().hex
 
-        def search(group=before, key=key):
+        def search(sent=sent, key=key):
             # A worker builds a group once and forgets it when another one, or another operator, comes.
-            return remembered(("benchmark", key), lambda: build(group.value, window))
+            return remembered(("benchmark", key), lambda: build(sent.value, window))
 
-        out = out.mapInArrow(scan(search), schema)
-    return out
+        yield search
 
 
 def _scan(search: Search):
@@ -132,11 +129,10 @@ def _scan(search: Search):
         number = vocabulary.get
         for batch, texts in slices(batches, "utf8"):
             n_words, spans, items = [], [], []
-            before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)
-            for text, (had_spans, had_items) in zip(texts, before, strict=True):
+            for text in texts:
                 words = words_of(text)
                 numbers = [number(w, 0) for w in words]
-                found, owners = [(s["start"], s["end"]) for s in had_spans], set(had_items)
+                found, owners = [], set()
                 if any(numbers):
                     for automaton in automata:
                         for start, own in automaton.search(numbers):
@@ -145,7 +141,7 @@ def _scan(search: Search):
                 n_words.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in _merge(found)])
                 items.append(sorted(owners))
-            columns = {"doc_id": batch.column("doc_id"), "utf8": batch.column("utf8"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "utf8"} | {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return scan
@@ -179,19 +175,66 @@ def benchmark_groups(benchmark: DataFrame, group_bytes: int) -> Iterator[list[tu
         yield group
 
 
+_FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+#: Two columns that tell a text from others: rows of equal id and text have equal hits.
+_KEY = ["doc_id", "text_key"]
+
+
+def _later_hits(rows: DataFrame, searches: Iterator[Search], kind: str) -> DataFrame | None:
+    """Hits of the groups behind the first, without texts: one narrow pass over the documents and one small table per group."""
+    out = None
+    for search in searches:
+        hits = rows.mapInArrow(_scan(search), f"doc_id {kind}, text_key long, {_FOUND}").where(F.size("spans") > 0).select(*_KEY, "spans", "items")
+        hits = materialise(hits, "benchmark-hits")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _merged(spans: Column) -> Column:
+    """Union of ranges, in order."""
+    none = F.array().cast("array<struct<start: long, end: long>>")
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last.isNotNull() & (s["start"] <= last["end"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(joined))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` for ``docs(doc_id, text)``: hit word ranges [start, end) and the items found, as strings."""
-    rows = docs.select(
-        "doc_id", utf8().alias("utf8"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start: long, end: long>>").alias("spans"), F.array().cast("array<string>").alias("items"),
+    """``doc_id, n_words, spans, items`` for ``docs(doc_id, text)``: hit word ranges [start, end) and the items found, as strings.
+
+    Of a benchmark of several groups each group reads the documents once; only hits are written and joined, never texts.
+    """
+    kind, text = dict(docs.dtypes)["doc_id"], utf8()
+    searches = _searches(docs, benchmark, window, group_bytes)
+    first = next(searches)
+    second = next(searches, None)
+    if second is None:
+        return docs.select("doc_id", text.alias("utf8")).mapInArrow(_scan(first), f"doc_id {kind}, {_FOUND}")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("utf8"))
+    base = rows.mapInArrow(_scan(first), f"doc_id {kind}, text_key long, {_FOUND}")
+    more = _later_hits(rows, chain([second], searches), kind).distinct()
+    more = more.groupBy(*_KEY).agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items")).toDF("other_id", "other_key", "more_spans", "more_items")
+    x = base.join(more, base.doc_id.eqNullSafe(more.other_id) & (base.text_key == more.other_key), "left")
+    found = more.more_items.isNotNull()
+    return x.select(
+        "doc_id", "n_words", F.when(found, _merged(F.concat("spans", "more_spans"))).otherwise(F.col("spans")).alias("spans"), F.when(found, F.array_sort(F.array_union("items", "more_items"))).otherwise(F.col("items")).alias("items")
     )
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, utf8 binary, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-    return _searched(rows, benchmark, window, group_bytes, _scan, schema).drop("utf8")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The documents of ``docs`` without any window of the benchmark, with all their columns."""
-    return _searched(docs, benchmark, window, group_bytes, _clean, docs.schema)
+    searches = _searches(docs, benchmark, window, group_bytes)
+    clean = docs.mapInArrow(_clean(next(searches)), docs.schema)
+    second = next(searches, None)
+    if second is None:
+        return clean
+    text = utf8()
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("utf8"))
+    hits = _later_hits(rows, chain([second], searches), dict(docs.dtypes)["doc_id"]).select(*_KEY).distinct().toDF("other_id", "other_key")
+    return clean.join(hits, clean.doc_id.eqNullSafe(hits.other_id) & (F.xxhash64(text) == hits.other_key), "left_anti").select(*docs.columns)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:
