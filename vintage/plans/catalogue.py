@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, bar_windows, companies, contests, fundamentals, histories, joins, ledgers, mood, quality, research, scalars, screening, screens, streams  # noqa: F401  (registration)
+from . import aggregates, bar_windows, companies, contests, fundamentals, histories, joins, ledgers, mood, quality, research, scalars, screening, screens, strategies, streams  # noqa: F401  (registration)
 from .registry import QUERIES, SQL, Query
 
 
