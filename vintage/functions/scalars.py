@@ -1,4 +1,4 @@
-"""Column functions of the domain: pure expressions that stay in generated code.
+"""Column functions of the domain: pure expressions that stay in generated code, but for the root search of ``implied_growth``.
 
 Where a definition compares rounded values they are rounded first. Constants are
 fixed values of the domain.
@@ -6,8 +6,11 @@ fixed values of the domain.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Keyword lists and weights of announcement scoring.
 POSITIVE = ("awarded", "commissioned", "expansion", "approved", "upgraded", "growth", "highest ever", "debt free", "order win", "patent granted", "record profit", "secured", "wins order", "contract signed", "commercial production")
@@ -239,19 +242,35 @@ def _present_value(cash: Column, growth: Column) -> Column:
     return cash * (flows + F.pow(q, F.lit(YEARS)) * (1 + TERMINAL) / (DISCOUNT - TERMINAL))
 
 
+@F.pandas_udf(DoubleType())
+def _bisected(cash: pd.Series, value: pd.Series) -> pd.Series:
+    """A batch of rows halves its ranges together; a row leaves where its gap is close enough, and after all steps at the latest."""
+    cash, value = cash.to_numpy(dtype=float), value.to_numpy(dtype=float)
+    found, rows = np.empty(len(cash)), np.arange(len(cash))
+    lo, hi = np.full(len(cash), LOWEST), np.full(len(cash), HIGHEST)
+    with np.errstate(all="ignore"):
+        for _ in range(STEPS):
+            mid = (lo + hi) / 2
+            q = (1 + mid / 100) / (1 + DISCOUNT)
+            power = q**YEARS
+            flows = np.where(np.abs(q - 1) < 1e-12, YEARS, q * (1 - power) / (1 - q))
+            gap = cash * (flows + power * (1 + TERMINAL) / (DISCOUNT - TERMINAL)) - value
+            below, hit = gap < 0, np.abs(gap) < CLOSE_ENOUGH
+            lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+            if hit.any():
+                found[rows[hit]] = mid[hit]
+                rows, cash, value, lo, hi = (v[~hit] for v in (rows, cash, value, lo, hi))
+                if not len(rows):
+                    break
+    found[rows] = (lo + hi) / 2
+    return pd.Series(found)
+
+
 def implied_growth(cash: Column, value: Column) -> Column:
-    """Growth that the value implies, by bisection as a fold; the ends of the range where it lies outside; null without cash flow."""
-    start = F.struct(F.lit(LOWEST).alias("lo"), F.lit(HIGHEST).alias("hi"), F.lit(False).alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        gap = _present_value(cash, mid) - value
-        hit = F.abs(gap) < CLOSE_ENOUGH
-        moved = F.struct(F.when(hit | (gap < 0), mid).otherwise(s["lo"]).alias("lo"), F.when(hit | (gap >= 0), mid).otherwise(s["hi"]).alias("hi"), hit.alias("done"))
-        return F.when(s["done"], s).otherwise(moved)
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
-    inside = F.when(_present_value(cash, F.lit(LOWEST)) >= value, LOWEST).when(_present_value(cash, F.lit(HIGHEST)) <= value, HIGHEST).otherwise(found)
+    """Growth that the value implies, by bisection; the ends of the range where it lies outside; null without cash flow."""
+    # A fold over 60 steps would be interpreted and write out the present value anew at each use.
+    cash, value = cash.cast("double"), value.cast("double")
+    inside = F.when(_present_value(cash, F.lit(LOWEST)) >= value, LOWEST).when(_present_value(cash, F.lit(HIGHEST)) <= value, HIGHEST).otherwise(_bisected(cash, value))
     return F.when((cash > 0) & (value > 0), inside)
 
 
