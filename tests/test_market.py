@@ -216,6 +216,24 @@ def test_implied_growth_of_many_rows_equals_a_plain_loop(spark):
     assert time.monotonic() - began < 15
 
 
+def test_keywords_change_the_case_of_a_text_once(spark):
+    """First class in order, counts of words, null texts; no lambda, in which a whole text would be lowered or raised anew for every word."""
+    texts = ["Audited financial results, q1 and dividend", "the fda and a SHOW cause", "esop", "an order for a new plant", "plain", "", None, "Fraud, fraud and growth", "growth secured, fraud", "5-YEAR plan", "cfo resigns; capex", "order worth Rs. 1,250.5 cr"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    t = F.col("t")
+    (kind, weight), (event, materiality, size) = f.filing_class(t), f.event_of(t)
+    good, bad = f.contradictions(F.array(t), F.array(t)), f.direction(t, F.lit(20.0))
+    x = x.select("i", kind.alias("kind"), weight.alias("weight"), event.alias("event"), materiality.alias("materiality"), size.alias("size"), bad.alias("direction"), f.track(F.lit("DIVIDEND"), t).alias("track"), good.alias("both"))
+    got = x.orderBy("i").collect()
+    other = "GENERAL_CORPORATE_DISCLOSURE"
+    assert [r.kind for r in got] == ["EARNINGS_RESULT", "REGULATORY_ACTION", "ESOP_ALLOTMENT", "CAPACITY_EXPANSION", other, other, other, other, other, other, "CAPACITY_EXPANSION", "ORDER_WIN"]
+    assert [r.weight for r in got] == ["HIGH", "HIGH", "LOW", "HIGH", "LOW", "LOW", "LOW", "LOW", "LOW", "LOW", "HIGH", "HIGH"]
+    assert [r.event for r in got] == ["OTHER"] * 3 + ["CAPEX"] + ["OTHER"] * 6 + ["CAPEX", "ORDER_WIN"] and [r.materiality for r in got] == [0.5] * 3 + [0.8] + [0.5] * 6 + [0.8, 0.75]
+    assert not any(r.both for r in got) and [r.size for r in got] == [None] * 11 + [12_505_000_000.0]
+    assert [r.direction for r in got] == [0.5, -1.0, 0.5, 0.5, 0.5, 0.5, 0.5, 1.0, 1.0, 0.5, 0.5, 0.5] and [r.track for r in got] == ["TACTICAL"] * 3 + ["STRUCTURAL"] + ["TACTICAL"] * 5 + ["STRUCTURAL"] + ["TACTICAL"] * 2
+    assert "lambda" not in x.drop("both")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_crore_values(spark):
     x = spark.createDataFrame([("Rs. 1,200.5 Crore order",), ("USD 50 Mn deal",), ("nothing",), (None,)], "t string").select(f.crore_value(F.col("t")).alias("v"))
     assert one(x, "v") == [1200.5, 420.0, None, None]

@@ -6,6 +6,9 @@ fixed values of the domain.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -79,8 +82,14 @@ def crore_value(text: Column) -> Column:
     return F.coalesce(number(crore), F.round(number(usd) * CRORE_PER_MILLION_USD, 2))
 
 
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds one of the words. Written out: a lambda over the words would change the case of the whole text anew for each of them."""
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
+
+
 def hits(text: Column, words: tuple[str, ...]) -> Column:
-    return F.size(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)))
+    """How many of the words the text holds."""
+    return reduce(add, (F.when(F.contains(text, F.lit(w)), 1).otherwise(0) for w in words))
 
 
 def direction(text: Column, weight: Column) -> Column:
@@ -97,9 +106,7 @@ def type_weight(kind: Column) -> Column:
 
 
 def track(kind: Column, headline: Column) -> Column:
-    lower = F.lower(headline)
-    words = F.exists(F.array(*(F.lit(w) for w in STRUCTURAL_WORDS)), lambda w: F.contains(lower, w))
-    return F.when(F.upper(kind).isin(*STRUCTURAL_TYPES) | words, "STRUCTURAL").otherwise("TACTICAL")
+    return F.when(F.upper(kind).isin(*STRUCTURAL_TYPES) | contains_any(F.lower(headline), STRUCTURAL_WORDS), "STRUCTURAL").otherwise("TACTICAL")
 
 
 def materiality(kind: Column, text: Column, value: Column, revenue: Column) -> Column:
@@ -133,25 +140,31 @@ EVENT_WORDS = (
 ORDER_SIZE = r"(?:rs\.?|inr|worth)\s*(\d+(?:,\d+)*(?:\.\d+)?)\s*(?:cr|crore)"
 
 
-def _first_class(text: Column, classes: tuple, value: int, otherwise) -> Column:
+def _first_class(text: Column, classes: tuple) -> Column:
+    """The place of the first class of which the text has a keyword."""
     out = F
-    for row in classes:
-        out = out.when(F.size(F.filter(F.array(*(F.lit(w) for w in row[2])), lambda w: F.contains(text, w))) > 0, row[value])
-    return out.otherwise(otherwise)
+    for place, row in enumerate(classes):
+        out = out.when(contains_any(text, row[2]), place)
+    return out
+
+
+def _of_class(place: Column, classes: tuple, value: int, otherwise) -> Column:
+    return F.coalesce(F.get(F.array(*(F.lit(row[value]) for row in classes)), place), F.lit(otherwise))
 
 
 def filing_class(text: Column) -> tuple[Column, Column]:
     """Class and weight of a filing: the first class of which the text has a keyword."""
-    upper = F.upper(text)
-    return _first_class(upper, FILING_CLASSES, 0, "GENERAL_CORPORATE_DISCLOSURE"), _first_class(upper, FILING_CLASSES, 1, "LOW")
+    place = _first_class(F.upper(text), FILING_CLASSES)
+    return _of_class(place, FILING_CLASSES, 0, "GENERAL_CORPORATE_DISCLOSURE"), _of_class(place, FILING_CLASSES, 1, "LOW")
 
 
 def event_of(text: Column) -> tuple[Column, Column, Column]:
     """Event, materiality and, of an order, its size in rupees."""
     lower = F.lower(text)
-    kind = _first_class(lower, EVENT_WORDS, 0, "OTHER")
+    place = _first_class(lower, EVENT_WORDS)
+    kind = _of_class(place, EVENT_WORDS, 0, "OTHER")
     size = F.regexp_replace(F.regexp_extract(lower, ORDER_SIZE, 1), ",", "")
-    return kind, _first_class(lower, EVENT_WORDS, 1, 0.5), F.when((kind == "ORDER_WIN") & (size != ""), size.try_cast("double") * 10_000_000)
+    return kind, _of_class(place, EVENT_WORDS, 1, 0.5), F.when((kind == "ORDER_WIN") & (size != ""), size.try_cast("double") * 10_000_000)
 
 
 def macro_regime(vix: Column, crude: Column) -> Column:
@@ -365,8 +378,7 @@ def contradictions(reasons_for: Column, reasons_against: Column) -> Column:
     good, bad = F.lower(F.array_join(reasons_for, " ")), F.lower(F.array_join(reasons_against, " "))
     found = []
     for claim, denials, name in CONTRADICTIONS:
-        denied = F.exists(F.array(*(F.lit(d) for d in denials)), lambda d: F.contains(bad, d))
-        found.append(F.when(F.contains(good, F.lit(claim)) & denied, name))
+        found.append(F.when(F.contains(good, F.lit(claim)) & contains_any(bad, denials), name))
     return F.array_compact(F.array(*found))
 
 
