@@ -1,10 +1,12 @@
 """Sinks under repetition and failure, lookups by text, tolerance reads."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from vintage.operators import lookup, timeline
 from vintage.sources import sinks
 from vintage.sources.stored import shared_folder
@@ -99,6 +101,33 @@ def test_first_contained_equals_brute_force(spark):
     assert {r.label for r in lookup.first_contained(facts, "text", dim.limit(0), "word", "place").collect()} == {None}
 
 
+@pytest.mark.parametrize("few", [0, 200, 10_000])
+def test_first_contained_with_any_number_of_keys_equals_brute_force(spark, monkeypatch, few):
+    """Keys that go to every text, and keys that are met by their pieces; copies of a text, keys of one letter and of many."""
+    monkeypatch.setattr(lookup, "FEW", few)
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abü ") for _ in range(n))
+    keys = [(draw.randrange(40), word(draw.choice([0, 1, 3, 4, 5, 6, 9]))) for _ in range(300)] + [(1, None), (None, "aabb"), (99, "ab"), (0, "zz")]
+    texts = [None, "", "c", "zz", *(word(draw.choice([1, 2, 4, 8, 30])) for _ in range(120))]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    keys = [(p, k, f"row {p} {(k or '').strip()}") for p, k in keys]
+    dim, facts = spark.createDataFrame(keys, "place int, word string, label string"), spark.createDataFrame(rows, "id int, text string")
+    cleaned = [(-1 if p is None else p, k.strip().upper(), label) for p, k, label in keys if k and k.strip()]
+    for equal_first in (True, False):
+        want = {}
+        for i, t in rows:
+            t = None if t is None else t.strip().upper()
+            want[i] = min(((equal_first and t != k, p, k, label) for p, k, label in cleaned if t is not None and k in t), default=[None])[-1]
+        got = lookup.first_contained(facts, "text", dim, "word", "place", equal_first).collect()
+        assert len(got) == len(rows) and {r.id: r.label for r in got} == want
+
+
+def test_texts_stay_where_they_are_when_keys_are_few(spark):
+    """Whole documents were shuffled four times and cut into all their pieces to meet ten keys."""
+    plan = entry.queries()["J16_theme_of_text"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "regexp_extract_all" not in plan
+
+
 def test_nearest_within_a_tolerance(spark):
     known = spark.createDataFrame([("A", day(0), 1.0), ("A", day(10), 2.0), ("A", day(20), 3.0), ("B", day(5), 9.0), ("A", None, 7.0)], "company_id string, at date, v double")
     wanted = spark.createDataFrame([("A", day(n)) for n in (-3, 0, 4, 5, 6, 15, 27, 99)] + [("B", day(5)), ("C", day(5))], "company_id string, want date")

@@ -1,10 +1,11 @@
 """Dimension lookups by text: a row of an ordered dimension whose key equals the text or is a part of it.
 
-A substring test has no equi key, and testing every text against every key is a
-product. Here each key is filed under one of its own three-letter pieces, the
-one that fewest keys share; the distinct texts are cut into all their pieces and
-meet the keys by an equi-join, and only those pairs are compared in full. Keys
-shorter than three letters are filed under themselves.
+A dimension of few keys goes to every text as one broadcast row, so that a text
+is read once for each key and never moves. With many keys, each key is filed
+under one of its own three-letter pieces, the one that fewest keys share; texts
+are cut into all their pieces and meet the keys by an equi-join, and each text
+gets the keys met this way. Keys shorter than three letters are filed under
+themselves. Either way a row compares its text with its keys in full.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .setups import half_up
 
 #: Letters of a piece.
 PIECE = 3
+#: Keys that go to every text; with more of them, cutting the text costs less than reading it for each key.
+FEW = 256
 
 # Market sizes in crore by industry (niche, whole), companies that belong to one, and words of a sector's name that point to one, in order of precedence.
 MARKETS = (
@@ -53,19 +56,31 @@ def first_contained(facts: DataFrame, text: str, dimension: DataFrame, key: str,
     """
     found = [c for c in dimension.columns]
     keys = dimension.select(F.upper(F.trim(F.col(key))).alias("_key"), F.col(order).alias("_order"), F.struct(*found).alias("_row")).where("_key <> ''")
+    x = facts.withColumn("_text", F.upper(F.trim(F.col(text))))
+    entry = F.struct("_order", "_key", "_row")
+    if keys.limit(FEW + 1).count() <= FEW:
+        x = x.crossJoin(F.broadcast(keys.agg(F.collect_list(entry).alias("_keys"))))
+    else:
+        x = x.withColumn("_id", F.xxhash64("_text"))
+        # A key may come by several texts of one number, which only brings more keys to compare.
+        met = _met(x.select("_id", "_text").where("_text IS NOT NULL").distinct(), keys)
+        x = x.join(met.groupBy("_id").agg(F.collect_list(entry).alias("_keys")), "_id", "left")
+    x = x.withColumn("_held", F.filter("_keys", lambda k: F.contains("_text", k["_key"])))
+    ranked = F.transform("_held", lambda k, i: F.struct((F.col("_text") != k["_key"] if equal_first else F.lit(False)).alias("part"), k["_order"].alias("order"), k["_key"].alias("key"), i.alias("at")))
+    x = x.withColumn("_row", F.get("_held", F.array_min(ranked)["at"])["_row"])
+    return x.select(*facts.columns, *(F.col(f"_row.{c}").alias(c) for c in found if c not in facts.columns))
+
+
+def _met(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``_id`` and the columns of the keys whose piece a text of that number holds, each once."""
     sizes = sorted(r[0] for r in keys.select(F.least(F.length("_key"), F.lit(PIECE)).alias("size")).distinct().collect())  # three at most
-    own = F.coalesce(*(F.when(F.length("_key") >= s, pieces(F.col("_key"), s)) for s in sorted(sizes, reverse=True))) if sizes else F.array(F.lit(""))
+    own = F.coalesce(*(F.when(F.length("_key") >= s, pieces(F.col("_key"), s)) for s in reversed(sizes)))
     filed = keys.withColumn("_piece", F.explode(own))
     shared = filed.groupBy("_piece").agg(F.count_distinct("_key").alias("_n"))
     filed = filed.join(shared, "_piece").groupBy("_key", "_order", "_row").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
-    texts = facts.select(F.upper(F.trim(F.col(text))).alias("_text")).where("_text IS NOT NULL").distinct().withColumn("_id", F.xxhash64("_text"))
-    # Pieces travel with the text's number, not with the text; two texts of one number only bring more pairs to compare.
-    cut = texts.select("_id", F.explode(F.flatten(F.array(*(pieces(F.col("_text"), s) for s in sizes))) if sizes else F.array().cast("array<string>")).alias("_piece"))
-    pairs = texts.join(cut.join(filed, "_piece").select("_id", "_key", "_order", "_row"), "_id").where(F.contains("_text", "_key"))
-    rank = F.struct((F.col("_text") != F.col("_key")).cast("int") if equal_first else F.lit(0), "_order", "_key")
-    best = pairs.groupBy("_text").agg(F.min_by("_row", rank).alias("_row"))
-    out = facts.withColumn("_text", F.upper(F.trim(F.col(text)))).join(best, "_text", "left")
-    return out.select(*facts.columns, *(F.col(f"_row.{c}").alias(c) for c in found if c not in facts.columns))
+    # Pieces travel with the text's number, not with the text.
+    cut = texts.select("_id", F.explode(F.flatten(F.array(*(pieces(F.col("_text"), s) for s in sizes)))).alias("_piece"))
+    return cut.join(filed, "_piece").select("_id", "_order", "_key", "_row").distinct()
 
 
 def markets(facts: DataFrame, symbol: str, sector: str) -> DataFrame:
