@@ -133,6 +133,39 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == dict(enumerate(brute_components(texts)))
 
 
+def test_groups_strung_together_by_chance_fall_apart(spark, monkeypatch):
+    """Few words make 5-grams shared by chance: one candidate group of almost all texts, of which few may meet all its blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 25)
+    monkeypatch.setattr(jaccard_join, "CROWDED_SETS", 20, raising=False)
+    made, plain = {}, jaccard_join.materialise
+
+    def watched(df, what, *more):
+        made[what] = plain(df, what, *more)
+        return made[what]
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randrange(30, 40))) for _ in range(250)]
+    texts += [t + " g" for t in texts[:30]] + ["a a a a a a a", "a a a a a b", None]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+    assert made["candidates"].groupBy("part").count().agg({"count": "max"}).first()[0] > 100
+    assert "rest" not in made or made["rest"].count() < 40
+
+
+@pytest.mark.parametrize("heavy", [2, 70])
+def test_crowded_groups_of_frequent_ngrams_equal_brute_force(spark, monkeypatch, heavy):
+    """Every group goes through the exchange of crowded groups, where n-grams are frequent, some known to one task alone."""
+    monkeypatch.setattr(jaccard_join, "CROWDED_SETS", 1)
+    monkeypatch.setattr(jaccard_join, "HEAVY_IN_CROWD", heavy)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", 500)
+    rng = random.Random(12)
+    passage = words(rng, 40)
+    texts = near_texts() + [" ".join(passage + words(rng, rng.randrange(0, 25))) for _ in range(150)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_components(texts)))
+
+
 def test_near_duplicates_of_nothing_and_of_rows_without_id(spark):
     assert jaccard_join.near_duplicates(empty(spark)).isEmpty()
     rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")], "doc_id long, text string")

@@ -17,7 +17,12 @@ compared. No step forms all pairs of a group.
    first and match nothing; most documents consist of them and drop out here.
 3. *Candidate groups.* Classes that share a prefix n-gram are connected (star
    edges to the smallest class, then contraction rounds in the shared folder).
-   Each class lies in one candidate group, so that sets travel once.
+   Each class lies in one candidate group, so that sets travel once. The larger
+   the table, the more short sets share n-grams by chance, until such sharing
+   strings most of them together. A crowded group therefore goes through steps 1
+   to 3 again by itself: with all n-grams of its sets and their frequency in the
+   group, prefixes are the rarest quarter of a set, and groups fall apart. This is
+   repeated for what stays crowded while that halves it.
 4. *Prefix tree.* Within a group, or a block of a large one, sets are stored in a
    tree in one global order, frequent n-grams first, so that near copies share
    paths. A set walks the tree, counting the overlap of shared paths once;
@@ -54,6 +59,10 @@ PERCENT = 75
 FIRST_TIER = 0.4
 #: An n-gram of so many classes is simply frequent: the order does not tell such n-grams apart by frequency.
 HEAVY = 64
+#: The same among the sets of crowded groups, where the order tells more frequent n-grams apart by sixteenths of a doubling.
+HEAVY_IN_CROWD = 4_096
+#: Sets of a candidate group above which it is crowded.
+CROWDED_SETS = 128
 #: Entries of a bucket of the exchange; with it grows a task's memory.
 BUCKET_ENTRIES = 700_000
 #: Words whose hashes a worker remembers before it starts afresh; affects speed only.
@@ -150,6 +159,12 @@ def _by_bucket(bucket: np.ndarray, cls: np.ndarray, n: np.ndarray, tier: np.ndar
         yield int(bucket[a]), _pack(head, grams[a:b], None if ranks is None else ranks[a:b])
 
 
+def _rank(frequency: np.ndarray, heavy: int) -> np.ndarray:
+    """The place of a frequency in the order of n-grams: itself up to HEAVY, then by its logarithm, the same from ``heavy`` on."""
+    frequency = np.minimum(frequency, heavy)
+    return np.where(frequency <= HEAVY, frequency, HEAVY + (16 * np.log2(np.maximum(frequency, HEAVY) / HEAVY)).astype(np.int64))
+
+
 _EXCHANGE = "bucket long, packet binary, doc_id long, cls long, n int"
 _RETURN = "kind int, bucket long, packet binary, doc_id long, cls long, n int"
 
@@ -161,30 +176,32 @@ def _record(names: str, rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [k for k, _ in fields])
 
 
+def _flush(sets: list[tuple[int, int, int, np.ndarray]], buckets: int, heavy_at: int) -> Iterator[pa.RecordBatch]:
+    """Packets of ``(class, size, n-grams in the first tier, n-grams to send)``. Buckets: 0.. n-grams, ``2 * buckets``.. known frequent n-grams."""
+    if not sets:
+        return
+    lengths = np.array([len(g) for *_, g in sets])
+    cls, n, tier = (np.repeat(np.array([s[i] for s in sets], t), lengths) for i, t in ((0, np.int64), (1, np.int64), (2, np.int64)))
+    grams = np.concatenate([g for *_, g in sets])
+    ordered = np.sort(grams)
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    heavy = ordered[starts[np.diff(np.append(starts, len(ordered))) >= heavy_at]]
+    at = np.searchsorted(heavy, grams) if len(heavy) else None
+    known = heavy[np.minimum(at, len(heavy) - 1)] == grams if len(heavy) else np.zeros(len(grams), bool)
+    rest = ~known
+    packets = list(_by_bucket((grams[rest] % np.uint64(buckets)).astype(np.int64), cls[rest], n[rest], tier[rest], grams[rest], None))
+    if len(heavy):
+        zero = np.zeros(len(heavy), np.int64)
+        packets += _by_bucket((heavy % np.uint64(buckets)).astype(np.int64), zero, zero, zero, heavy, None)
+        ranks = _rank(np.full(int(known.sum()), heavy_at), heavy_at)
+        packets += [(2 * buckets + b, p) for b, p in _by_bucket(cls[known] % buckets, cls[known], n[known], tier[known], grams[known], ranks)]
+    yield _record(_EXCHANGE, len(packets), bucket=[b for b, _ in packets], packet=[p for _, p in packets])
+
+
 def _send(n_words: int, percent: int, buckets: int):
-    """Map side of the exchange. Buckets: 0.. n-grams, ``buckets``.. document rows, ``2 * buckets``.. known frequent n-grams."""
+    """Map side of the exchange: packets, and document rows in buckets ``buckets``.. ."""
     cutoff = np.uint64(int(FIRST_TIER * 2**64))
 
-    def flush(sets: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if not sets:
-            return
-        lengths = np.array([len(g) for *_, g in sets])
-        cls, n, tier = (np.repeat(np.array([s[i] for s in sets], t), lengths) for i, t in ((0, np.int64), (1, np.int64), (2, np.int64)))
-        grams = np.concatenate([g for *_, g in sets])
-        ordered = np.sort(grams)
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        heavy = ordered[starts[np.diff(np.append(starts, len(ordered))) >= HEAVY]]
-        at = np.searchsorted(heavy, grams) if len(heavy) else None
-        known = heavy[np.minimum(at, len(heavy) - 1)] == grams if len(heavy) else np.zeros(len(grams), bool)
-        rest = ~known
-        packets = list(_by_bucket((grams[rest] % np.uint64(buckets)).astype(np.int64), cls[rest], n[rest], tier[rest], grams[rest], None))
-        if len(heavy):
-            zero = np.zeros(len(heavy), np.int64)
-            packets += _by_bucket((heavy % np.uint64(buckets)).astype(np.int64), zero, zero, zero, heavy, None)
-            ranks = np.full(int(known.sum()), HEAVY)
-            packets += [(2 * buckets + b, p) for b, p in _by_bucket(cls[known] % buckets, cls[known], n[known], tier[known], grams[known], ranks)]
-        yield _record(_EXCHANGE, len(packets), bucket=[b for b, _ in packets], packet=[p for _, p in packets])
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, entries, slice_no = [], set(), 0, TaskContext.get().partitionId() * 7919
         for batch, texts in slices(batches, "utf8"):
@@ -202,14 +219,32 @@ def _send(n_words: int, percent: int, buckets: int):
             slice_no += 1
             yield _record(_EXCHANGE, len(texts), bucket=[buckets + slice_no % buckets] * len(texts), doc_id=batch.column(0), cls=classes, n=sizes)
             if entries > BUCKET_ENTRIES:
-                yield from flush(sets)
+                yield from _flush(sets, buckets, HEAVY)
                 sets, seen, entries = [], set(), 0
-        yield from flush(sets)
+        yield from _flush(sets, buckets, HEAVY)
+
+    return send
+
+
+def _send_sets(buckets: int):
+    """Map side of the exchange within candidate groups: all n-grams of the sets of rows ``cls, part, grams``, told apart by group."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, entries = [], 0
+        for batch in batches:
+            for cls, part, packed in zip(batch.column("cls").to_pylist(), batch.column("part").to_numpy(), batch.column("grams"), strict=True):
+                grams = _mix(np.frombuffer(packed.as_py(), "<u8") ^ part.view(np.uint64))
+                sets.append((cls, len(grams), len(grams), grams))
+                entries += len(grams)
+                if entries > BUCKET_ENTRIES:
+                    yield from _flush(sets, buckets, HEAVY_IN_CROWD)
+                    sets, entries = [], 0
+        yield from _flush(sets, buckets, HEAVY_IN_CROWD)
 
     return send
 
 
-def _bucket(buckets: int):
+def _bucket(buckets: int, heavy: int = HEAVY):
     """A bucket of the exchange: n-grams of two or more classes go on to buckets of the class."""
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
@@ -239,8 +274,8 @@ def _bucket(buckets: int):
         grams, cls, row = grams[once], cls[once], row[once]
         starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         runs = np.diff(np.append(starts, len(grams)))
-        frequency = np.add.reduceat(np.where(cls == 0, HEAVY, 1), starts) if len(grams) else starts
-        rank = np.minimum(np.repeat(frequency, runs), HEAVY)
+        frequency = np.add.reduceat(np.where(cls == 0, heavy, 1), starts) if len(grams) else starts
+        rank = np.repeat(_rank(frequency, heavy), runs)
         keep = (rank > 1) & (cls != 0)
         grams, cls, row, rank = grams[keep], cls[keep], row[keep], rank[keep]
         order = np.argsort(cls, kind="stable")
@@ -251,16 +286,16 @@ def _bucket(buckets: int):
     return bucket
 
 
-def _prefixes(percent: int):
-    """A bucket of classes: the prefix n-grams, rarest first, of classes that may link at all."""
-    cutoff = np.uint64(int(FIRST_TIER * 2**64))
+def _prefixes(percent: int, first_tier: float = FIRST_TIER):
+    """A bucket of classes: the prefix n-grams, rarest first, of classes that may link at all. ``first_tier`` 1: all n-grams were sent."""
+    cutoff = np.uint64(int(first_tier * 2**64)) if first_tier < 1 else None
 
     def prefixes(table: pa.Table) -> pa.Table:
         packets = [_unpack(p) for p in table.column("packet").to_pylist()]
         head = np.concatenate([h for h, _, _ in packets])
         grams, ranks = np.concatenate([g for _, g, _ in packets]), np.concatenate([r for _, _, r in packets])
         cls, n, tier = (np.repeat(head[k].astype(np.int64), head["count"]) for k in ("cls", "n", "tier"))
-        second = grams >= cutoff
+        second = grams >= cutoff if cutoff is not None else np.zeros(len(grams), bool)
         order = np.lexsort((grams, np.where(second, 0, ranks), second, cls))
         grams, cls, n, tier, second = grams[order], cls[order], n[order], tier[order], second[order]
         once = np.ones(len(cls), bool)
@@ -463,11 +498,45 @@ def _run_trees(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
     return rows.repartition(tasks, *keys).groupBy(*keys).applyInArrow(_tree_task(percent), "a long, b long")
 
 
+def _candidate_groups(prefixes: DataFrame) -> DataFrame:
+    """``node, root``: classes that share a prefix n-gram are connected."""
+    stars = prefixes.groupBy("gram").agg(F.min("cls").alias("b"), F.max("cls").alias("high")).where("b < high").select("gram", "b")
+    return connected(prefixes.join(stars, "gram").selectExpr("cls a", "b"))
+
+
+def _regrouped(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` in the candidate groups that full prefixes leave within their groups; sets that are alone then are left out."""
+    entries = (sets.agg(F.sum(F.length("grams"))).first()[0] or 0) // 8
+    buckets = max(4, -(-entries // BUCKET_ENTRIES))
+    back = sets.select("cls", "part", "grams").mapInArrow(_send_sets(buckets), _EXCHANGE).groupBy("bucket").applyInArrow(_bucket(buckets, HEAVY_IN_CROWD), _RETURN)
+    prefixes = back.where("kind = 1").select("bucket", "packet").groupBy("bucket").applyInArrow(_prefixes(percent, 1), "gram long, cls long")
+    groups = _candidate_groups(materialise(prefixes, "prefixes")).selectExpr("node cls", "root part")
+    return materialise(_joined(sets.drop("part"), groups, groups.count(), "cls").select(*sets.columns), "sets")
+
+
+def _uncrowded(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` with crowded candidate groups split, while a round halves the sets in them."""
+    settled, before = [], None
+    while True:
+        size = sets.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.length("grams")).alias("volume"))
+        crowded = materialise(size.where((F.col("n") > CROWDED_SETS) | (F.col("volume") > BLOCK_BYTES)).select("part", "n"), "crowded")
+        groups, n = crowded.agg(F.count("*"), F.sum("n")).first()
+        if not groups or before and 2 * n > before:
+            break
+        parts = crowded.select("part")
+        settled.append(_joined(sets, parts, groups, "part", "left_anti").select(*sets.columns))
+        sets, before = _regrouped(_joined(sets, parts, groups, "part", "left_semi").select(*sets.columns), percent), n
+    for more in settled:
+        sets = sets.unionByName(more)
+    return sets
+
+
 def _link_groups(sets: DataFrame, percent: int) -> DataFrame:
     """``cls, root``: within every candidate group ``part``, the smallest class that links connect a class with; classes that are their own root may be left out."""
     def blocks_of(size: Column, volume: Column) -> Column:
         return F.ceil(F.greatest(size / BLOCK_SETS, volume / BLOCK_BYTES)).cast("long")
 
+    sets = _uncrowded(sets, percent)
     count, volume = F.count("*"), F.sum(F.length("grams"))
     sizes = sets.groupBy("part").agg(blocks_of(count, volume).alias("blocks"))
     tasks = max(64, (sets.agg(volume).first()[0] or 0) // TASK_BYTES)
@@ -544,8 +613,7 @@ def _grouped(docs: DataFrame, n_words: int, percent: int) -> tuple[DataFrame, Da
     rows = back.where("kind = 0").select("doc_id", "cls", "n")
     prefixes = back.where("kind = 1").select("bucket", "packet").groupBy("bucket").applyInArrow(_prefixes(percent), "gram long, cls long")
     prefixes = materialise(prefixes, "prefixes")
-    stars = prefixes.groupBy("gram").agg(F.min("cls").alias("b"), F.max("cls").alias("high")).where("b < high").select("gram", "b")
-    groups = connected(prefixes.join(stars, "gram").selectExpr("cls a", "b"))
+    groups = _candidate_groups(prefixes)
     classes = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     candidates = materialise(groups.selectExpr("node cls", "root part").join(classes, "cls").select("rep", "cls", "part"), "candidates")
     few = candidates.count() * 24 <= BROADCAST_BYTES
