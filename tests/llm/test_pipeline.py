@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from vintage.llm import queries
+from vintage.llm import jaccard_join, queries
 
 from .test_text_operators import brute_components, words
 
@@ -75,3 +75,24 @@ def test_empty_tables_and_repeated_rows(spark, tmp_path, rows):
     for r in corpus_pipeline.run(spark, folder).collect():
         tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.length
     assert tokens == ({None: 2, 1: 21} if rows else {})
+
+
+def test_near_copies_among_texts_strung_together_by_chance(spark, monkeypatch):
+    """Stage 2 keeps what brute force keeps, and no set meets all blocks of a group that chance strings together."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 25)
+    monkeypatch.setattr(jaccard_join, "CROWDED_SETS", 20, raising=False)
+    many, plain = [], jaccard_join.materialise
+
+    def watched(df, what, *more):
+        out = plain(df, what, *more)
+        many.extend([out.count()] if what == "rest" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", watched)
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices("abcdef", k=rng.randrange(30, 40))) for _ in range(220)]
+    texts += [t + " g" for t in texts[:20]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, (_, c) in enumerate(brute_components(texts)) if i == c}
+    assert sum(many) < 40
